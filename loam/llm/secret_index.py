@@ -112,7 +112,7 @@ def _one(op, value) -> tuple[set[str] | None, Query]:
     if op is sre.AT:
         return {""}, True
     if op is sre.IN:
-        if len(value) <= 4 and all(o is sre.LITERAL for o, _ in value):
+        if len(value) <= 8 and all(o is sre.LITERAL for o, _ in value):
             return {chr(v).lower() for _, v in value}, True
         return None, True
     if op is sre.SUBPATTERN:

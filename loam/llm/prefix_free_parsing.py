@@ -2,9 +2,10 @@
 
 A byte goes if a WIDTH-byte string that covers it also starts in a document with a smaller id. Documents lie in blocks
 (a bucketed table, so that their texts are shuffled once). Per block, rolling-hash triggers cut the documents into
-phrases; phrases whose whole content occurs under a smaller id are settled by their 96-bit hashes. For the rest, every
-string has an anchor (the least GRAM-byte hash in it), so that equal strings have equal anchors; strings whose anchor
-occurs in one document only are settled too. The strings that remain are sent as fragments, dealt by anchor; there each
+phrases; phrases whose whole content occurs under a smaller id are settled by their 96-bit hashes (the document of the
+smallest id that has a string is never settled there, so that nothing is lost to the rest). In the rest, every string
+has an anchor (the least GRAM-byte hash in it), so that equal strings have equal anchors; strings whose anchor occurs in
+one document only are settled too. The strings that remain are sent as fragments, dealt by anchor; there each
 set of distinct fragments is parsed prefix-free, and the suffix arrays of its dictionary and of its parse are combined
 into the order of all suffixes, in which equal strings are neighbours. An anchor in very many fragments is
 dealt by the strings themselves. Counts, candidates and comparisons cover all texts; equal bytes decide, not hashes,
@@ -29,7 +30,10 @@ from loam.llm.common import bound_batches, drop_staged, shared_dir, stage
 
 WIDTH, GRAM = 50, 24
 #: Bytes of text in a block; bytes of a segment; mean bytes of a phrase; fragments of one anchor that go to one place.
-BLOCK, SEGMENT, PHRASE, HOT = 16 << 20, 1 << 20, 256, 1 << 19
+#: A larger corpus takes larger blocks (256 MB at 100 TB), as each block has a row for each other one at most.
+BLOCK, SEGMENT, PHRASE, HOT = 16 << 20, 1 << 20, 128, 1 << 15
+#: Parts of a bucket; bytes of fragments that are sorted together (a part more at most).
+PARTS, AT_ONCE = 1024, 1 << 20
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(5)
@@ -116,39 +120,69 @@ def _unpack(raw: bytes, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _requests(t: pa.Table, buckets: int, segment: int) -> pa.Table:
-    """Of one block: its anchors (kind 0) and phrases (kind 1), by the bucket that looks them up."""
-    docs = _ordered(t)
-    blk = t.column("blk")[0].as_py()
-    anchors, owners, least = [], [], {}
-    for d, (k, raw, _) in enumerate(docs):
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [[]] * 5, _REQUEST.types)], schema=_REQUEST)
+
+
+def _asked_phrases(t: pa.Table, buckets: int, segment: int) -> pa.Table:
+    """Of one block: its phrases with their smallest ids (kind 1), by the bucket that looks them up."""
+    least: dict[bytes, int] = {}
+    for k, raw, _ in _ordered(t):  # ids ascend
         for s in segments(raw, segment):
-            first = np.flatnonzero(np.diff(s.at, prepend=-1))
-            a = np.unique(s.anchor[first])
-            anchors.append(a)
-            owners.append(np.full(len(a), d))
             for h in s.phrases():
-                if least.get(h, NO_ID) >= k:
-                    least[h] = k
-    rows = []
-    if anchors:
-        a, o = np.concatenate(anchors), np.concatenate(owners)
-        order = np.lexsort((o, a))
-        a, o = a[order], o[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
-        a, counts = np.unique(a[new], return_counts=True)
-        bucket = (a % np.uint64(buckets)).astype(np.int64)
-        for k in np.unique(bucket).tolist():
-            mine = bucket == k
-            rows.append((k, blk, 0, _pack(a[mine], 5), np.minimum(counts[mine], 65535).astype("<u2").tobytes()))
-        names = np.frombuffer(b"".join(least), np.uint8).reshape(-1, 12)
-        ids = np.array(list(least.values()), "<i8")
-        bucket = names[:, :4].copy().view("<u4").ravel() % buckets
-        for k in np.unique(bucket).tolist():
-            mine = bucket == k
-            rows.append((k, blk, 1, names[mine].tobytes(), ids[mine].tobytes()))
-    return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [[]] * 5, _REQUEST.types)], schema=_REQUEST)
+                least.setdefault(h, k)
+    if not least:
+        return _table([])
+    names = np.frombuffer(b"".join(least), np.uint8).reshape(-1, 12)
+    ids = np.array(list(least.values()), "<i8")
+    bucket = names[:, :4].copy().view("<u4").ravel() % buckets
+    blk = t.column("blk")[0].as_py()
+    return _table([(k, blk, 1, names[bucket == k].tobytes(), ids[bucket == k].tobytes()) for k in np.unique(bucket).tolist()])
+
+
+class Settled:
+    """Which phrases of a block have their whole content under a smaller id; documents are to come by ascending id."""
+
+    def __init__(self, found: pa.Table):
+        self.least: dict[bytes, int] = {}
+        for r in found.to_pylist():
+            if r["kind"] == 1:
+                for i, k in enumerate(np.frombuffer(r["extra"], "<i8").tolist()):
+                    self.least[r["keys"][12 * i : 12 * i + 12]] = k
+
+    def phrases(self, s: Segment, k: int) -> list[bool]:
+        out = []
+        for h in s.phrases():
+            first = self.least.setdefault(h, k)
+            if first > k:
+                first = self.least[h] = k
+            out.append(first < k)
+        return out
+
+
+def _asked_anchors(t: pa.Table, found: pa.Table, buckets: int, segment: int) -> pa.Table:
+    """Of one block: the anchors of strings in phrases that aren't settled, with numbers of documents (kind 0)."""
+    settled = Settled(found)
+    anchors, owners = [], []
+    for d, (k, raw, _) in enumerate(_ordered(t)):
+        for s in segments(raw, segment):
+            open_ = ~np.repeat(settled.phrases(s, k), np.diff(s.cuts))
+            a = s.anchor[np.flatnonzero(open_ & (np.diff(s.at, prepend=-1) != 0) | np.diff(open_, prepend=False) & open_)]
+            if len(a):
+                a = np.unique(a)
+                anchors.append(a)
+                owners.append(np.full(len(a), d))
+    if not anchors:
+        return _table([])
+    a, o = np.concatenate(anchors), np.concatenate(owners)
+    order = np.lexsort((o, a))
+    a, o = a[order], o[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
+    a, counts = np.unique(a[new], return_counts=True)
+    bucket = (a % np.uint64(buckets)).astype(np.int64)
+    blk = t.column("blk")[0].as_py()
+    return _table([(k, blk, 0, _pack(a[bucket == k], 5), np.minimum(counts[bucket == k], 65535).astype("<u2").tobytes()) for k in np.unique(bucket).tolist()])
 
 
 _REQUEST = pa.schema([("bucket", pa.int64()), ("blk", pa.int64()), ("kind", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
@@ -181,84 +215,85 @@ def _looked_up(t: pa.Table, hot: int) -> pa.Table:
         got = [(h, least[h]) for i, k in enumerate(ids) if least[h := keys[12 * i : 12 * i + 12]] < k]
         if got:
             out.append((0, blk, 1, b"".join(h for h, _ in got), np.array([k for _, k in got], "<i8").tobytes()))
-    return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*out) if out else [[]] * 5, _REQUEST.types)], schema=_REQUEST)
+    return _table(out)
 
 
 def _runs(s: Segment, settled: np.ndarray, shared: np.ndarray, hot: np.ndarray, buckets: int):
-    """(start, strings, bucket) of the fragments of a segment that must be compared."""
+    """(start, strings, bucket, part of the bucket) of the fragments of a segment that must be compared."""
     place = np.searchsorted(shared, s.anchor)
     place[place == len(shared)] = 0
     wanted = ~settled & (shared[place] == s.anchor) if len(shared) else np.zeros(s.n, bool)
     at = np.flatnonzero(wanted)
     if not len(at):
-        return at, at, at
+        return at, at, at, at
     alone = hot[place[at]]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (s.at[at[1:]] != s.at[at[:-1]]) | alone[1:] | alone[:-1]
     first = np.flatnonzero(new)
     size = np.diff(first, append=len(at))
     key = np.where(alone[first], s.strings[at[first]], s.anchor[at[first]])
-    return at[first], size, (key % np.uint64(buckets)).astype(np.int64)
+    return at[first], size, (key % np.uint64(buckets)).astype(np.int64), (key // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
 
 
 def _fragments(t: pa.Table, found: pa.Table, buckets: int, segment: int) -> pa.Table:
     """Of one block: distinct fragments by bucket (kind 2: extra has ids and numbers of strings), and where they stand (kind 3), and what phrases settle (kind 4)."""
     docs = _ordered(t)
     blk = t.column("blk")[0].as_py()
-    shared, hot, smaller = [], [], {}
+    shared, hot = [], []
     for r in found.to_pylist():
         if r["kind"] == 0:
             shared.append(_unpack(r["keys"], 5))
             hot.append(np.frombuffer(r["extra"], bool))
-        else:
-            for i, k in enumerate(np.frombuffer(r["extra"], "<i8").tolist()):
-                smaller[r["keys"][12 * i : 12 * i + 12]] = k
+    phrases = Settled(found)
     shared, hot = (np.concatenate(shared), np.concatenate(hot)) if shared else (np.zeros(0, np.uint64), np.zeros(0, bool))
     order = np.argsort(shared)
     shared, hot = shared[order], hot[order]
-    seen: dict[bytes, int] = {}  # ids ascend within a block
-    pieces: dict[tuple[int, bytes], tuple[int, int, int]] = {}  # number in its bucket, smallest id, strings
+    pieces: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}  # number in its bucket, smallest id, strings
     counts: dict[int, int] = {}
     where, settled_rows = [], []
     for d, (k, raw, _) in enumerate(docs):
         for s in segments(raw, segment):
-            settled = np.zeros(s.n, bool)
-            c = s.cuts.tolist()
-            for i, h in enumerate(s.phrases()):
-                if min(smaller.get(h, NO_ID), seen.setdefault(h, k)) < k:
-                    settled[c[i] : c[i + 1]] = True
-                    settled_rows.append((d, s.low + c[i], c[i + 1] - c[i]))
-            for low, n, b in zip(*(x.tolist() for x in _runs(s, settled, shared, hot, buckets))):
+            c, gone = s.cuts.tolist(), phrases.phrases(s, k)
+            settled_rows += [(d, s.low + c[i], c[i + 1] - c[i]) for i, g in enumerate(gone) if g]
+            for low, n, b, part in zip(*(x.tolist() for x in _runs(s, np.repeat(gone, np.diff(s.cuts)), shared, hot, buckets))):
                 text = s.raw[low : low + n + WIDTH - 1]
-                got = pieces.get((b, text))
-                if got is None:
-                    got = pieces[b, text] = (counts.get(b, 0), k, n)
+                got = pieces.get((b, part, text))
+                if got is None:  # ids ascend, so this is the smallest
+                    got = pieces[b, part, text] = (counts.get(b, 0), k, n)
                     counts[b] = got[0] + 1
                 where.append((d, s.low + low, n, b, got[0], got[1] < k))
     by: dict[int, list] = {}
-    for (b, text), (_, k, n) in pieces.items():
-        by.setdefault(b, []).append((text, k, n))
-    rows = [(b, blk, 2, b"".join(x[0] for x in v), np.array([[x[1], x[2]] for x in v], "<i8").tobytes()) for b, v in by.items()]
+    for (b, part, text), (_, k, n) in pieces.items():
+        by.setdefault(b, []).append((text, k, n, part))
+    rows = [(b, blk, 2, b"".join(x[0] for x in v), np.array([x[1:] for x in v], "<i8").tobytes()) for b, v in by.items()]
     for kind, v in ((3, where), (4, settled_rows)):
         if v:
             rows.append((-1, blk, kind, np.array(v, "<u4").tobytes(), None))
-    return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [[]] * 5, _REQUEST.types)], schema=_REQUEST)
+    return _table(rows)
 
 
-def _ranks(value: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes of groups laid end to end; last: the place of the end of each item's group."""
+def _ranks(value: np.ndarray, last: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks of all suffixes of groups laid end to end; value: under 2**bits - 1; last: the place of the end of each item's group."""
     n = len(value)
-    rank, step, place = np.unique(value, return_inverse=True)[1] + 1, 1, np.arange(n)
-    longest = int((last - place).max()) + 1 if n else 0
+    place = np.arange(n)
+    left = last - place  # items after this one in its group
+    rank, step = value.astype(np.int64) + 1, 1
+    while (step + 1) * bits <= 62:  # as many items as a word holds are compared at once
+        rank <<= bits
+        rank[: n - step] += np.where(left[: n - step] >= step, value[step:] + 1, 0)
+        step += 1
+    rank = np.unique(rank, return_inverse=True)[1] + 1
+    longest = int(left.max()) + 1 if n else 0
     while step < longest:
-        after = np.where(place + step <= last, rank[np.minimum(place + step, n - 1)], 0)
-        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1] + 1
+        key = rank * (n + 2)
+        key[: n - step] += np.where(left[: n - step] >= step, rank[step:], 0)
+        rank = np.unique(key, return_inverse=True)[1] + 1
         step *= 2
     return rank
 
 
-def suffix_order(texts: list[bytes], trigger: int = 4, modulus: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """The order of all suffixes of distinct texts, and where each text starts among the positions.
+def suffix_order(texts: list[bytes], firsts: np.ndarray | None = None, trigger: int = 4, modulus: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of distinct texts (the first firsts[i] of texts[i], or all), and where each text starts.
 
     Positions are those of the texts laid end to end. A suffix that ends sorts before one that goes on.
     """
@@ -296,30 +331,33 @@ def suffix_order(texts: list[bytes], trigger: int = 4, modulus: int = 16) -> tup
     plen = np.array([len(p) // 2 for p in dictionary])
     pstart = np.cumsum(plen) - plen
     letters = np.frombuffer(b"".join(dictionary), ">u2").astype(np.int64)
-    inner = _ranks(letters, np.repeat(pstart + plen - 1, plen))
+    inner = _ranks(letters, np.repeat(pstart + plen - 1, plen), 9)
     # suffixes of the parse, text by text
     ends = np.flatnonzero(~follows)
-    outer = _ranks(parse, ends[np.searchsorted(ends, np.arange(len(parse)))])
+    outer = _ranks(parse, ends[np.searchsorted(ends, np.arange(len(parse)))], max(1, int(len(parse) + 1).bit_length()))
     after = np.where(follows, np.append(outer[1:], 0), 0)
+    chosen = np.arange(len(at))
+    if firsts is not None:
+        chosen = chosen[chosen - np.repeat(starts, lens) < np.repeat(firsts, lens)]
+        at = at[chosen]
     phrase_at = np.searchsorted(begin, at, side="right") - 1
     key = inner[pstart[parse[phrase_at]] + at - begin[phrase_at]] * (len(parse) + 2) + after[phrase_at]
-    return np.argsort(key, kind="stable"), starts
+    return chosen[np.argsort(key)], starts
 
 
 def least_ids(texts: list[bytes], ids: np.ndarray, strings: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """For each of the first strings[i] strings of `width` bytes in texts[i]: the smallest id of a text that has it."""
-    order, starts = suffix_order(texts)
+    order, starts = suffix_order(texts, strings)
     whole = np.frombuffer(b"".join(texts) + b"\0" * width, np.uint8)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    place = np.arange(len(owner)) - starts[owner]
-    order = order[place[order] < strings[owner[order]]]
     same = np.zeros(len(order), bool)
     for low in range(0, len(order) - 1, 1 << 17):
         a, b = order[low : low + (1 << 17) + 1][:-1], order[low + 1 : low + 1 + (1 << 17)]
-        differ = np.zeros(len(b), bool)
-        for j in range(width):
-            differ |= whole[a[: len(b)] + j] != whole[b + j]
-        same[low + 1 : low + 1 + len(b)] = ~differ
+        a, equal = a[: len(b)], np.arange(len(b))
+        for j in range(0, width, 2):  # both ends first: most neighbours differ near one of them
+            for k in {j // 2, width - 1 - j // 2}:
+                equal = equal[whole[a[equal] + k] == whole[b[equal] + k]]
+        same[low + 1 + equal] = True
     group = np.cumsum(~same) - 1
     least = np.minimum.reduceat(ids[owner[order]], np.flatnonzero(~same)) if len(order) else np.zeros(0, np.int64)
     flat = np.full(len(owner), NO_ID)
@@ -330,28 +368,37 @@ def least_ids(texts: list[bytes], ids: np.ndarray, strings: np.ndarray, width: i
 def _compared(t: pa.Table) -> pa.Table:
     """Of one bucket: for each block's fragments, which strings have a smaller id than the fragment's own (kind 5: one 64-bit mask each)."""
     rows = t.to_pylist()
-    known: dict[bytes, int] = {}
+    parts: dict[int, dict[bytes, int]] = {}  # the parts of a bucket share no strings
     least, strings, asked = [], [], []
     for r in rows:
         low = 0
-        for k, n in np.frombuffer(r["extra"], "<i8").reshape(-1, 2).tolist():
+        for k, n, part in np.frombuffer(r["extra"], "<i8").reshape(-1, 3).tolist():
             text = r["keys"][low : low + n + WIDTH - 1]
             low += len(text)
-            i = known.setdefault(text, len(known))
+            i = parts.setdefault(part, {}).setdefault(text, len(least))
             if i == len(least):
                 least.append(k)
                 strings.append(n)
             else:
                 least[i] = min(least[i], k)
             asked.append((i, k))
-    found = least_ids(list(known), np.array(least), np.array(strings))
+    found: list = [None] * len(least)
+    ids, counts = np.array(least), np.array(strings)
+    some: dict[bytes, int] = {}
+    for last, part in enumerate(parts.values(), 1 - len(parts)):
+        some |= part
+        if last == 0 or sum(map(len, some)) >= AT_ONCE:
+            which = np.array(list(some.values()))
+            for i, x in zip(which.tolist(), least_ids(list(some), ids[which], counts[which])):
+                found[i] = x
+            some = {}
     out, at = [], 0
     for r in rows:
-        n = len(r["extra"]) // 16
+        n = len(r["extra"]) // 24
         masks = [int.from_bytes(np.packbits(found[i] < k, bitorder="little").tobytes(), "little") for i, k in asked[at : at + n]]
         at += n
         out.append((r["bucket"], r["blk"], 5, np.array(masks, "<u8").tobytes(), None))
-    return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*out) if out else [[]] * 5, _REQUEST.types)], schema=_REQUEST)
+    return _table(out)
 
 
 def _marked(sizes: list[int], plan: pa.Table) -> dict[int, np.ndarray]:
@@ -399,13 +446,17 @@ class Blocks:
         bound_batches(spark)
         n = self.n
         texts = self.table.select("blk", "doc_id", "raw")
-        asked = texts.groupBy("blk").applyInArrow(lambda t: _requests(t, n, segment), _SQL)
-        self.found = stage(asked.groupBy("bucket").applyInArrow(lambda t: _looked_up(t, hot), _SQL), "found")
+        looked_up = lambda asked: stage(asked.groupBy("bucket").applyInArrow(lambda t: _looked_up(t, hot), _SQL), "found")
+        phrases = looked_up(texts.groupBy("blk").applyInArrow(lambda t: _asked_phrases(t, n, segment), _SQL))
+        anchors = texts.groupBy("blk").cogroup(phrases.groupBy("blk")).applyInArrow(lambda t, f: _asked_anchors(t, f, n, segment) if t.num_rows else _REQUEST.empty_table(), _SQL)
+        anchors = looked_up(anchors)
+        self.found = phrases.union(anchors)
         sent = texts.groupBy("blk").cogroup(self.found.groupBy("blk")).applyInArrow(lambda t, f: _fragments(t, f, n, segment) if t.num_rows else _REQUEST.empty_table(), _SQL)
         self.sent = stage(sent, "fragments")
         masks = self.sent.where("kind = 2").groupBy("bucket").applyInArrow(lambda t: _compared(t), _SQL)
         self.plan = stage(self.sent.where("kind in (3, 4)").union(masks), "plan")
-        drop_staged(self.found)
+        drop_staged(phrases)
+        drop_staged(anchors)
         drop_staged(self.sent)
 
     def applied(self, columns: list[str], form, schema: str) -> DataFrame:

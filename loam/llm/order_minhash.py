@@ -119,8 +119,8 @@ def compared_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     kind = dict(docs.dtypes)[key]
     columns = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = [F.desc_nulls_last("doc_id"), F.asc("text")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # ranges are cut by ids alone: the sample that finds the cuts holds no texts
+    dealt = rows.repartitionByRange(F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
 
     def each(rows):
         part, first, last = TaskContext.get().partitionId(), None, None

@@ -93,15 +93,15 @@ def merged(runs: list[DataFrame]) -> DataFrame:
 
 
 def printable(c: Column) -> Column:
-    """Bytes as text: printable ASCII as it is, all else as \\xNN."""
+    """Bytes as text: printable ASCII but the backslash as it is, all else as \\xNN."""
     hexed = F.hex(c)
     pairs = F.regexp_extract_all(hexed, F.lit("(..)"), F.lit(1))
-    one = lambda p: F.when(p.between("20", "7E"), F.decode(F.unhex(p), "US-ASCII")).otherwise(F.concat(F.lit("\\x"), F.lower(p)))
+    one = lambda p: F.when(p.between("20", "7E") & (p != "5C"), F.decode(F.unhex(p), "US-ASCII")).otherwise(F.concat(F.lit("\\x"), F.lower(p)))
     return F.array_join(F.transform(pairs, one), "")
 
 
 def dump(log: DataFrame) -> DataFrame:
     """One line of text a version."""
     head = F.concat(F.lit("'"), printable(F.col("user_key").cast("binary")), F.lit("' @ "), F.col("seq").cast("string"))
-    line = F.concat(head, F.when(F.col("vtype") == 0, F.lit(" DEL")).otherwise(F.concat(F.lit(" PUT => '"), F.col("val").cast("string"), F.lit("'"))))
+    line = F.concat(head, F.when(F.col("vtype") == 0, F.lit(" DEL")).otherwise(F.concat(F.lit(" PUT => '"), printable(F.col("val").cast("string").cast("binary")), F.lit("'"))))
     return log.select("user_key", "seq", line.alias("line"))

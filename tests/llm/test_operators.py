@@ -1,6 +1,7 @@
 import hashlib
 import os
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -232,6 +233,20 @@ def test_trigram_queries_never_miss():
         assert spans == sorted((s, k, e) for k, r in enumerate(secret_index.RULES) for s, e in r.spans(t))
 
 
+def test_secret_rules_take_linear_time_and_find_what_stands_within_a_run():
+    rules = {r.kind: r for r in secret_index.RULES}
+    token, url = "eyJabcdefghi.eyJabcdefghi.abcdefgh12", "https://u:secret99@h.org"
+    for front in ("", "jwt_", "x-eyJ_", "(", "a.", "eyJ."):
+        assert [e for _, e in rules["web_token"].spans(front + token + " x")] == [len(front + token)], front
+    for front in ("", "X", "1", "1.", "(", ":"):
+        assert [e for _, e in rules["url_password"].spans(front + url + "/x")] == [len(front + url)], front
+    began = time.perf_counter()
+    for text in ("https://u:p@h " + "a" * 400_000, "eyJ" * 100_000, "a://" * 100_000, "eyJaaaaaaaa.eyJaaaaaaaa." * 10_000, "-----BEGIN PRIVATE KEY-----\nab " * 10_000, "password" * 40_000, "token" + " " * 400_000):
+        for rule in rules.values():
+            rule.spans(text)
+    assert time.perf_counter() - began < 20  # some of these took minutes when tried at every letter
+
+
 def brute_removal(rows, width=50):
     least = {}
     for k, t in rows:

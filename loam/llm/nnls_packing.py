@@ -36,17 +36,18 @@ _LATIN = re.compile(r" ?[\x21-\x7eÀ-ɏ]+")
 class WordCache(dict):
     """Token ids (little-endian 32-bit) of a word, with or without the space before it."""
 
-    MOST = 500_000
+    MOST, LONGEST = 500_000, 64  # words that are remembered, and their characters: texts without spaces must not pile up
 
     def __init__(self, encode, before: str):
         super().__init__()
         self.encode, self.before = encode, before
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
         ids = array("I", self.encode(self.before + word)).tobytes() if self.before + word else b""
-        self[word] = ids
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = ids
         return ids
 
 

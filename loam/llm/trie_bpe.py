@@ -128,6 +128,7 @@ class TextEncoder:
     """
 
     CACHED = 500_000  # pieces between white space that a worker remembers, with their encodings
+    CHARACTERS = 8_000_000  # of those pieces: texts without spaces must not pile up
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -143,6 +144,7 @@ class TextEncoder:
         self._bytes = {b: c for b, c in byte_symbols().items()}
         self.cache: dict[str, tuple[bytes, bytes]] = {}  # ids in decimal, and decoded
         self.known: dict[str, tuple[bytes, bytes]] = {}  # the same of words
+        self.held = 0  # characters of what both remember
 
     def split(self, piece: str) -> list[str | int]:
         """Words, as strings of byte symbols, and ids of special tokens."""
@@ -169,6 +171,7 @@ class TextEncoder:
             self.cache.clear()
         if len(self.known) > self.CACHED:
             self.known.clear()
+        self.held += sum(map(len, new))
         split = {p: self.split(p) for p in new}
         for w, ids in self.words.encode_words(w for ws in split.values() for w in ws if isinstance(w, str) and w not in self.known).items():
             self.known[w] = self._form(ids)
@@ -181,7 +184,11 @@ class TextEncoder:
         split = [_SPACE.split(t) for t in texts]
         todo = set().union(*split) if split else set()
         held = self.cache
-        if len(held) + len(todo) > self.CACHED:
+        if self.held > self.CHARACTERS:
+            held.clear()
+            self.known.clear()
+            self.held = 0
+        elif len(held) + len(todo) > self.CACHED:
             held.clear()
         self.learn(todo)
         for ps in split:

@@ -247,6 +247,23 @@ def test_secret_rules_take_linear_time_and_find_what_stands_within_a_run():
     assert time.perf_counter() - began < 20  # some of these took minutes when tried at every letter
 
 
+def test_texts_without_spaces_do_not_pile_up():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), trie_bpe.TextEncoder(path)
+    words.CHARACTERS = 5000
+    texts = [chr(0x4E00 + i) * 1500 + "ab" * i + " the river" for i in range(40)]
+    for t in texts:
+        assert words.encode(t) == library.encode(t, add_special_tokens=False).ids
+        assert sum(map(len, words.cache)) <= words.CHARACTERS + len(t)
+    path = tokenizer_file("byte_bpe_50k.json")
+    library, tokens = Tokenizer.from_file(path), nnls_packing.ByteTokens(path, tokenizer_file("byte_bpe_50k.tiktoken"))
+    for t in [*texts, "x" * 3000, "the river " + "é" * 500]:
+        assert np.frombuffer(tokens.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert max(map(len, (*tokens.first, *tokens.later))) <= tokens.first.LONGEST
+
+
 def brute_removal(rows, width=50):
     least = {}
     for k, t in rows:

@@ -18,13 +18,20 @@ KEY, ROUNDS = "loam", 8
 
 # The forms in which the data are written.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]*[0-9])"
+PHONE = (
+    r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    r"|(?<![0-9])(?<![0-9][.-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![.-]?[0-9])"
+)
+SSN = r"(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]*[0-9])"
 DATE = r"(?<![0-9/-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-]*[0-9])|(?<![0-9/-])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/]*[0-9])"
-IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
-CARD = r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+IP = r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
+# A card's groups are of fixed sizes, so that numbers before and after it are no part of it.
+CARD = (
+    r"(?<![0-9])(?<![0-9][.-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}"
+    r"|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5})(?![0-9])"
+)
 KINDS = ("email", "phone", "ssn", "date", "ip", "card")
-_ANY = "|".join((EMAIL, PHONE, SSN, DATE, IP, CARD))
+_ANY = EMAIL + "|(?=[0-9+(])(?:" + "|".join((PHONE, SSN, DATE, IP, CARD)) + ")"  # one look ahead settles most places
 _DAYS, _DAY_ROWS, _DAY_COLUMNS = "1800-01-01", 627, 233  # 400 years of days, as a rectangle
 
 
@@ -135,7 +142,7 @@ def _email(x: Column, key: str) -> tuple[Column, Column]:
 
 def _pseudonym(x: Column, key: str) -> Column:
     """A struct (kind, text); kind null: not valid, and the text as it was."""
-    is_ = {"email": x.contains("@"), "phone": x.contains("("), "ssn": x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "date": x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$|/"), "ip": x.contains("."), "card": F.lit(True)}
+    is_ = {"email": x.contains("@"), "phone": x.rlike(r"[(+]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), "ssn": x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "date": x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$|/"), "ip": x.contains("."), "card": F.lit(True)}
     made = {"email": _email, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip, "card": _card}
     kept = F.struct(F.lit(None).cast("string").alias("kind"), x.alias("text"))
     out = None

@@ -341,6 +341,24 @@ def test_pseudonyms(spark, none):
     assert pseudonyms.pseudonymised(none).count() == 0
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    """Each value is found whatever numbers stand before and after it."""
+    card, ip = "4451718024887799", "27.65.93.188"
+    forms = {
+        "card": ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "3782 822463 10005"],
+        "phone": ["(017) 555-7713", "+1 (017) 555-7713", "555-123-4567", "+1 555.123.4567"],
+        "ip": ["43.21.141.162"], "ssn": ["123-45-6789"], "date": ["2024-02-29"], "email": ["a.1@mail7.example.com"],
+    }
+    before = [("", None), ("x ", None), ("190 ", None), (ip + " ", "ip"), (card + " ", "card"), ("- ", None), ("n:", None)]
+    after = [("", None), (" 7", None), (" 190", None), (" " + ip, "ip"), (" " + card, "card"), (".", None), ("!!", None), (", x", None)]
+    rows = [(b + v + a, v, [k, kb, ka]) for k, vs in forms.items() for v in vs for b, kb in before for a, ka in after]
+    made = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymised(made).collect()}
+    for i, (t, v, kinds) in enumerate(rows):
+        assert v not in got[i].text, t
+        assert {k: got[i][f"n_{k}"] for k in pseudonyms.KINDS} == {k: kinds.count(k) for k in pseudonyms.KINDS}, t
+
+
 def test_pseudonyms_are_permutations(spark):
     from pyspark.sql import functions as F
 

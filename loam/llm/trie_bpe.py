@@ -27,6 +27,8 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 class TrieEncoder:
     """Encodes words (strings of the vocabulary's symbols) with an end-of-word suffix on the last symbol."""
 
+    PAIRS = 1_000_000  # pairs of tokens whose standing side by side is remembered
+
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], suffix: str = "</w>"):
         self.vocab, self.suffix = vocab, suffix
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
@@ -74,6 +76,8 @@ class TrieEncoder:
         common with the word before it.
         """
         out: dict[str, list[int]] = {}
+        if len(self._side) > self.PAIRS:
+            self._side.clear()
         last, start = [-1], [0]  # by depth: the last token of the current path's first symbols, and where it starts
         inner, final, side, longest, before = self.inner, self.final, self._side, self.longest, ""
         for w in sorted(set(words)):

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from loam.operators.ranges import held_by
+
 # Defaults of the format.
 LEVELS, LEVEL0_FILES, LEVEL_FACTOR, LEVEL_BASE = 7, 4, 10, 10 << 20
 
@@ -15,12 +17,11 @@ LEVELS, LEVEL0_FILES, LEVEL_FACTOR, LEVEL_BASE = 7, 4, 10, 10 << 20
 def with_base(inputs: DataFrame, deeper: DataFrame) -> DataFrame:
     """inputs with base: no range of a deeper file can hold the key. deeper: smallest, largest; disjoint levels.
 
-    The file table is metadata of the store; Spark broadcasts it only below its size threshold, else the ranges are cut
-    to a list per first bytes of the key by the caller.
+    Keys meet only the ranges of their bin (ranges.held_by), whatever the number of files.
     """
     ranges = deeper.select("smallest", "largest").distinct()
     keys = inputs.select("user_key").distinct()
-    held = keys.join(ranges, (F.col("user_key") >= F.col("smallest")) & (F.col("user_key") <= F.col("largest")), "left_semi").withColumn("_held", F.lit(True))
+    held = held_by(keys, ranges, "left_semi").withColumn("_held", F.lit(True))
     return inputs.join(held, "user_key", "left").withColumn("base", F.col("_held").isNull()).drop("_held")
 
 
@@ -80,7 +81,7 @@ def inputs_below(files: DataFrame, level: int) -> DataFrame:
 
 def candidates(files: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (user_key) -> the files that may hold each key, with the order in which they are asked."""
-    hit = probes.join(files, (F.col("user_key") >= F.col("smallest")) & (F.col("user_key") <= F.col("largest")))
+    hit = held_by(probes, files)
     order = F.row_number().over(Window.partitionBy("user_key").orderBy("level", F.desc("number")))
     return hit.select("user_key", "level", "number", order.cast("long").alias("asked"))
 

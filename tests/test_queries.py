@@ -1,6 +1,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from loam.queries import ORACLE_SQL, QUERIES
@@ -33,3 +34,22 @@ def test_codec_columns(spark):
 
     for r in QUERIES["codec_columns"](spark, DATA).limit(200).collect():
         assert get_varint(bytes.fromhex(r.varint))[0] == r.seq and r.crc32c == crc32c(r.user_key.encode())
+
+
+def test_zipf_scramble_returns_every_event(spark, tmp_path):
+    """Ranks beyond 1000 too: all rows against NumPy, on events whose ids reach the whole of [0, 1)."""
+    ids = np.arange(0, 60_000 * 37, 37, dtype=np.int64)
+    spark.createDataFrame([(int(i),) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    n, theta = len(ids), 0.99
+    u = ((ids + 1) * 48271 + 11) % 2147483647 / 2147483647.0
+    zeta = (np.arange(1, n + 1, dtype=float) ** -theta).sum()
+    eta = (1 - (2 / n) ** (1 - theta)) / (1 - (1 + 0.5**theta) / zeta)
+    tail = np.minimum(n * (eta * u - eta + 1) ** (1 / (1 - theta)), n - 1)
+    exact = np.where(u * zeta < 1, 0, np.where(u * zeta < 1 + 0.5**theta, 1, tail))
+    got = {r.i: r for r in QUERIES["zipf_scramble"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == ids.tolist()
+    ranks = np.array([got[i].rank for i in ids.tolist()])
+    near = (exact > 1) & (np.abs(exact - np.round(exact)) < 1e-9 * exact)  # pow() may floor to either side here
+    assert (ranks == np.floor(exact))[~near].all() and (np.abs(ranks - exact) <= 1.001)[near].all()
+    assert [got[i].scrambled for i in ids.tolist()] == [(int(r) + 1) * 4294967291 % n for r in ranks]
+    assert (ranks >= 1000).sum() > n / 4 and near.mean() < 0.001

@@ -19,16 +19,21 @@ KEY, ROUNDS = "loam", 8
 # The forms in which the data are written.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 PHONE = (
-    r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
-    r"|(?<![0-9])(?<![0-9][.-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![.-]?[0-9])"
+    r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}(?![0-9])"
+    r"|(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9])(?<![0-9][.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![.-]?[0-9])"
 )
 SSN = r"(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]*[0-9])"
-DATE = r"(?<![0-9/-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-]*[0-9])|(?<![0-9/-])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/]*[0-9])"
+DATE = (
+    r"(?<![0-9])(?<![0-9]-)[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-]*[0-9])|(?<![0-9])(?<![0-9]/)(?:[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2})(?![0-9/]*[0-9])"
+    r"|(?<![0-9])(?<![0-9]\.)[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?!\.?[0-9])"
+)
 IP = r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
-# A card's groups are of fixed sizes, so that numbers before and after it are no part of it.
+# Groups of digits with one separator are taken as a whole run; the cards (and phone numbers) in it are found by _run().
+# A group that begins a value of another form ends the run. Possessive: a long run needs no stack.
+_OTHER = r"(?![0-9]{3,4}[./-][0-9]{1,6}[./-][0-9]|[A-Za-z0-9._%+-]{1,64}@)"
 CARD = (
-    r"(?<![0-9])(?<![0-9][.-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}"
-    r"|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5})(?![0-9])"
+    r"(?<![0-9])(?<![0-9][.-])(?:[0-9]{13,19}(?![0-9])"
+    rf"|{_OTHER}[0-9]{{3,6}}(?: {_OTHER}[0-9]{{3,6}}(?![0-9])){{2,}}+|[0-9]{{4}}(?:-[0-9]{{4,6}}(?![0-9])){{2,}}+)"
 )
 KINDS = ("email", "phone", "ssn", "date", "ip", "card")
 _ANY = EMAIL + "|(?=[0-9+(])(?:" + "|".join((PHONE, SSN, DATE, IP, CARD)) + ")"  # one look ahead settles most places
@@ -94,13 +99,51 @@ def luhn_sum(digits: Column, doubled_from: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step)
 
 
-def _card(x: Column, key: str) -> tuple[Column, Column]:
+def _card_ok(digits: Column) -> Column:
+    return (luhn_sum(digits, 1) % 10 == 0) & ~digits.rlike("^0+$")
+
+
+def _card(x: Column, key: str) -> Column:
     d = _digits(x)
-    ok = (luhn_sum(d, 1) % 10 == 0) & ~d.rlike("^0+$")
     front = permuted_digits(d.substr(F.lit(1), F.length(d) - 1), "card", key)
     # the front is computed once and closed by its check digit
     new = F.transform(F.array(front), lambda f: F.concat(f, ((F.lit(10) - luhn_sum(f, 0) % 10) % 10).cast("string")))[0]
-    return ok, relaid(x, new)
+    return relaid(x, new)
+
+
+def _run(x: Column, key: str) -> Column:
+    """A struct (kinds, text) of a run of groups of digits: each valid card in it, whatever groups stand before and after.
+
+    A group that begins no card is given back and the next one is tried. Each group is marked with what begins there (a:
+    a card of four groups, b: of three, c: of one, p: a phone number, d: nothing); an expression takes the marked groups
+    from the left.
+    """
+    size = lambda g, i: F.coalesce(F.length(F.get(g, i)), F.lit(0))
+    whole = lambda g, i, n: F.array_join(F.slice(g, i + 1, n), "")
+
+    def card(g: Column, i: Column) -> Column:
+        four = (size(g, i) == 4) & (size(g, i + 1) == 4) & (size(g, i + 2) == 4) & (size(g, i + 3) == 4)
+        three = (size(g, i) == 4) & (size(g, i + 1) == 6) & size(g, i + 2).isin(4, 5)
+        one = size(g, i) >= 13
+        return F.when(four, F.when(_card_ok(whole(g, i, 4)), "a")).when(three, F.when(_card_ok(whole(g, i, 3)), "b")).when(one, F.when(_card_ok(F.get(g, i)), "c"))
+
+    def mark(g: Column, cards: Column, i: Column) -> Column:
+        phone = (size(g, i) == 3) & (size(g, i + 1) == 3) & (size(g, i + 2) == 4) & F.get(cards, i + 2).isNull() & ~x.contains("-")
+        return F.coalesce(F.get(cards, i), F.when(phone, "p"), F.lit("d"))
+
+    places = lambda g: F.sequence(F.lit(0), F.size(g) - 1)
+    groups = F.split(x, "[ -]")
+    held = F.transform(F.array(groups), lambda g: F.struct(g.alias("g"), F.transform(places(g), lambda i: card(g, i)).alias("cards")))
+    marked = F.transform(held, lambda h: F.array_join(F.transform(places(h["g"]), lambda i: F.concat(mark(h["g"], h["cards"], i), F.get(h["g"], i))), " "))[0]
+    tokens = F.regexp_extract_all(marked, F.lit("a[0-9]+(?: [a-dp][0-9]+){3}|[bp][0-9]+(?: [a-dp][0-9]+){2}|[cd][0-9]+"), F.lit(0))
+
+    def made(token: Column) -> Column:
+        plain = F.regexp_replace(token, "[a-dp]", "")
+        kind = F.when(token.startswith("p"), "phone").when(~token.startswith("d"), "card")
+        return F.struct(kind.alias("kind"), F.when(kind == "phone", _phone(plain, key)[1]).when(kind == "card", _card(plain, key)).otherwise(plain).alias("text"))
+
+    parts = F.transform(F.array(F.transform(tokens, made)), lambda t: F.struct(F.filter(t["kind"], lambda k: k.isNotNull()).alias("kinds"), F.array_join(t["text"], " ").alias("text")))[0]
+    return F.transform(F.array(parts), lambda p: F.struct(p["kinds"].alias("kinds"), F.when(x.contains("-"), F.translate(p["text"], " ", "-")).otherwise(p["text"]).alias("text")))[0]
 
 
 def _ssn(x: Column, key: str) -> tuple[Column, Column]:
@@ -114,7 +157,8 @@ def _ssn(x: Column, key: str) -> tuple[Column, Column]:
 def _phone(x: Column, key: str) -> tuple[Column, Column]:
     d = _digits(x)
     n = F.length(d)
-    return F.lit(True), relaid(x, F.concat(d.substr(F.lit(1), n - 10), permuted_digits(d.substr(n - 9, F.lit(10)), "phone", key)))
+    kept = F.when(n > 10, n - 10).when(x.startswith("+"), 2).otherwise(0)  # the country's digits
+    return F.lit(True), relaid(x, F.concat(d.substr(F.lit(1), kept), permuted_digits(d.substr(kept + 1, n - kept), "phone", key)))
 
 
 def _ip(x: Column, key: str) -> tuple[Column, Column]:
@@ -126,14 +170,18 @@ def _ip(x: Column, key: str) -> tuple[Column, Column]:
 
 
 def _date(x: Column, key: str) -> tuple[Column, Column]:
-    form = F.when(x.contains("-"), F.lit("yyyy-MM-dd")).when(x.substr(4, 2).cast("int") <= 12, F.lit("dd/MM/yyyy")).otherwise(F.lit("MM/dd/yyyy"))
-    day = F.try_to_timestamp(x, form).cast("date")
+    day_first = x.substr(4, 2).cast("int") <= 12
+    forms = [(x.contains("-"), "yyyy-MM-dd"), (x.contains(".") & day_first, "dd.MM.yyyy"), (x.contains("."), "MM.dd.yyyy"), (x.rlike("^[0-9]{4}/"), "yyyy/MM/dd"), (day_first, "dd/MM/yyyy"), (F.lit(True), "MM/dd/yyyy")]
+
+    def by_form(made):
+        return F.coalesce(*(F.when(is_, made(form)) for is_, form in forms))
+
+    day = F.try_to_timestamp(x, by_form(F.lit)).cast("date")
     at = F.datediff(day, F.lit(_DAYS).cast("date"))
     ok = day.isNotNull() & (at >= 0) & (at < _DAY_ROWS * _DAY_COLUMNS)
     out = feistel(F.floor(at / _DAY_COLUMNS), at % _DAY_COLUMNS, F.lit(_DAY_ROWS), F.lit(_DAY_COLUMNS), "date", key)
     new = F.date_add(F.lit(_DAYS).cast("date"), (out["l"] * _DAY_COLUMNS + out["r"]).cast("int"))
-    text = F.transform(F.array(new), lambda d: F.when(x.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(x.substr(4, 2).cast("int") <= 12, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))[0]
-    return ok, text
+    return ok, F.transform(F.array(new), lambda d: by_form(lambda form: F.date_format(d, form)))[0]
 
 
 def _email(x: Column, key: str) -> tuple[Column, Column]:
@@ -141,16 +189,16 @@ def _email(x: Column, key: str) -> tuple[Column, Column]:
 
 
 def _pseudonym(x: Column, key: str) -> Column:
-    """A struct (kind, text); kind null: not valid, and the text as it was."""
-    is_ = {"email": x.contains("@"), "phone": x.rlike(r"[(+]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), "ssn": x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "date": x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$|/"), "ip": x.contains("."), "card": F.lit(True)}
-    made = {"email": _email, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip, "card": _card}
-    kept = F.struct(F.lit(None).cast("string").alias("kind"), x.alias("text"))
+    """A struct (kinds, text): the kinds of the values replaced in x; none where it is not valid, and the text as it was."""
+    is_ = {"email": x.contains("@"), "phone": x.rlike(r"[(+]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), "ssn": x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "date": x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|/|^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), "ip": x.contains(".")}
+    made = {"email": _email, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip}
+    kept = F.struct(F.array().cast("array<string>").alias("kinds"), x.alias("text"))
     out = None
-    for k in KINDS:
+    for k in made:
         ok, text = made[k](x, key)
-        one = F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(k).alias("kind"), text.alias("text"))).otherwise(kept)
+        one = F.when(F.coalesce(ok, F.lit(False)), F.struct(F.array(F.lit(k)).alias("kinds"), text.alias("text"))).otherwise(kept)
         out = F.when(is_[k], one) if out is None else out.when(is_[k], one)
-    return out.otherwise(kept)
+    return out.otherwise(_run(x, key))
 
 
 def pseudonymised(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
@@ -158,6 +206,6 @@ def pseudonymised(docs: DataFrame, key: str = "doc_id", text: str = "text", secr
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     parts = rows.select("doc_id", "text", F.split("text", _ANY, -1).alias("gaps"), F.transform(F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)), lambda x: _pseudonym(x, secret)).alias("found"))
     joined = F.array_join(F.zip_with("gaps", "found", lambda g, f: F.concat(g, F.coalesce(f["text"], F.lit("")))), "")
-    count = lambda kind: F.coalesce(F.size(F.filter("found", lambda f: f["kind"] == kind)), F.lit(0))
+    count = lambda kind: F.coalesce(F.size(F.filter(F.flatten("found.kinds"), lambda k: k == kind)), F.lit(0))
     counts = [count(k) for k in KINDS]
     return parts.select("doc_id", F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias("text"), *(F.greatest(c, F.lit(0)).cast("long").alias(f"n_{k}") for c, k in zip(counts, KINDS)))

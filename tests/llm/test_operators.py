@@ -359,6 +359,33 @@ def test_pseudonyms_beside_other_numbers(spark):
         assert {k: got[i][f"n_{k}"] for k in pseudonyms.KINDS} == {k: kinds.count(k) for k in pseudonyms.KINDS}, t
 
 
+def test_pseudonyms_behind_groups_of_digits_and_in_more_forms(spark):
+    """Failed candidates hide no value that begins within them; phone numbers and dates in further forms."""
+    card = "4111 1111 1111 1111"
+    cases = [(b + card + a, [card], {"card": 1}) for b in ("2024 ", "2024 2025 ", "1234 567890 ", "190 200 ", "2024 190 ", "1234 1234 1234 1234 12 ") for a in ("", " 2024", " 190", ".", "-5", " 123456 7")]
+    cases += [(b + p + a, [p], {"phone": 1}) for p in ("+14155550123", "+1 415 555 0123", "415 555 0123", "+4930123456") for b in ("", "x ", "190 ", "2024 ") for a in ("", " 7", " 190", ".", " 2024", ", x")]
+    cases += [(b + d + a, [d], {"date": 1}) for d in ("2024-01-05", "05.01.2024", "2024/01/05", "05/01/2024", "01.31.2024") for b in ("", "x ", "190 ", "2024 ", "1111 2222 3333 ") for a in ("", " 7", ".", " 2024", ", x")]
+    cases += [
+        ("2024-01-05/2024-01-06", ["2024-01-05", "2024-01-06"], {"date": 2}), ("05/01/2024-06/01/2024", ["05/01/2024", "06/01/2024"], {"date": 2}),
+        ("2024-4111-1111-1111-1111-2024", ["4111-1111-1111-1111"], {"card": 1}), ("2024 3782 822463 10005", ["3782 822463 10005"], {"card": 1}),
+        ("1234 1234 4111111111111111", ["4111111111111111"], {"card": 1}), ("415 555 0123 " + card, ["415 555 0123", card], {"phone": 1, "card": 1}),
+        ("190 200 555-123-4567", ["555-123-4567"], {"phone": 1}), ("190 200 123-45-6789", ["123-45-6789"], {"ssn": 1}), ("190 200 300 43.21.141.162", ["43.21.141.162"], {"ip": 1}),
+        ("190 200 300 400.a@mail.com", ["400.a@"], {"email": 1}), (f"{card} 4451 7180 2488 7799", [card, "4451 7180 2488 7799"], {"card": 2}),
+        ("1111 1111 1111 1112 1111", [], {}), ("99.99.2024 2024/13/01", [], {}), ("1111 " * 20_000 + card, [card], {"card": None}),
+    ]
+    made = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pseudonyms.pseudonymised(made).collect()}
+    assert time.perf_counter() - began < 60
+    for i, (t, values, kinds) in enumerate(cases):
+        assert not any(v in got[i].text for v in values), t[:80]
+        assert len(got[i].text) == len(t) or {"email", "ip"} & set(kinds)
+        if None not in kinds.values():
+            assert {k: got[i][f"n_{k}"] for k in pseudonyms.KINDS} == {k: kinds.get(k, 0) for k in pseudonyms.KINDS}, t
+        if not values:
+            assert got[i].text == t
+
+
 def test_pseudonyms_are_permutations(spark):
     from pyspark.sql import functions as F
 

@@ -19,7 +19,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loam.llm.common import bound_batches, map_rows, stage
 from loam.llm.components import component_labels
@@ -41,13 +41,17 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(grams), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
+    """doc_id, fp; and the column that digest names, if any."""
+
     def each(rows):
-        for k, t in rows:
+        for k, t, *more in rows:
             f = fingerprint(t)
-            yield k, f - (1 << 64) if f >> 63 else f
+            yield k, f - (1 << 64) if f >> 63 else f, *more
 
-    return map_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), ["doc_id", "text"], each, f"doc_id {dict(docs.dtypes)[key]}, fp long")
+    more = [F.col(digest).alias("digest")] if digest else []
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *more)
+    return map_rows(rows, rows.columns, each, f"doc_id {dict(docs.dtypes)[key]}, fp long" + (", digest string" if digest else ""))
 
 
 class Forest:
@@ -172,21 +176,41 @@ def links(nodes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> Dat
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _labelled(nodes: DataFrame, budget: int) -> DataFrame:
+    """nodes (fp, ...), distinct -> the same with label, one of each component."""
+    labels = component_labels(links(nodes, budget)).withColumnRenamed("node", "fp")
+    return stage(nodes.join(labels, "fp", "left").select(*nodes.columns, F.coalesce("label", "fp").alias("label")), "labelled")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """One row a document: doc_id, fingerprint, component_id (the smallest id of its component)."""
     prints = stage(fingerprints(docs, key, text), "fingerprints")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    labels = component_labels(links(nodes, budget)).withColumnRenamed("node", "fp")
-    labelled = stage(nodes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
+    labelled = _labelled(nodes, budget)
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     member = labelled.join(least, "label").select("fp", "component_id")
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _digest(text: str) -> Column:
+    """128 bits of SHA-256 of a text; equality of those is trusted."""
+    return F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32)
+
+
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with the columns of docs; one row for an id.
+    """One row of docs for each component, with the columns of docs: that of the smallest id, then of the smallest digest.
 
-    Rows with a null id can't be told apart by it and all stay.
+    Rows are told apart by id and text, so that different texts under one id each stay in their own component. Rows with
+    a null id are a class of their own: one of them stays in each component too, even beside a row with an id.
     """
-    found = groups(docs, key, text, budget).where("doc_id = component_id").select(F.col("component_id").alias(key))
-    return docs.join(found, key, "left_semi").select(*docs.columns).dropDuplicates([key]).union(docs.where(F.col(key).isNull()))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), _digest(text).alias("digest"))
+    prints = stage(fingerprints(rows, digest="digest"), "fingerprints")
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))).alias("named")
+    nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("digest"))).alias("nameless")
+    nodes = stage(prints.groupBy("fp").agg(named, nameless), "nodes")
+    least = _labelled(nodes, budget).groupBy("label").agg(F.min("named").alias("named"), F.min("nameless").alias("nameless"))
+    found = least.where("named is not null").select(F.col("named.doc_id").alias("_id"), F.col("named.digest").alias("_stays"))
+    found = found.union(least.where("nameless is not null").select(F.lit(None).cast(rows.schema["doc_id"].dataType), "nameless"))
+    marked = docs.withColumn("_digest", _digest(text))
+    kept = marked.join(found, marked[key].eqNullSafe(found["_id"]) & (marked["_digest"] == found["_stays"]), "left_semi")
+    return kept.dropDuplicates([key, "_digest"]).select(*docs.columns)

@@ -76,6 +76,17 @@ def test_fingerprints_and_components(docs, none):
     assert sorted(x for x in ids if x is not None) == sorted({min(v) for v in least.values()}) and ids.count(None) == 2
 
 
+def test_representatives_are_rows_not_ids(spark):
+    far = [prose(80) for _ in range(6)]
+    prints = [brute_fingerprint(t) for t in far]
+    assert min((a ^ b).bit_count() for i, a in enumerate(prints) for b in prints[:i]) > 2
+    rows = [(7, t) for t in far[:4]] + [(3, far[0]), (9, far[4]), (9, far[4]), (None, far[5]), (None, far[5]), (None, far[5] + " ")]
+    kept = simhash_trie.representatives(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string").repartition(3))
+    assert kept.columns == ["doc_id", "text", "digest"]
+    got = [(r.doc_id, r.text.strip()) for r in kept.collect()]
+    assert sorted(map(str, got)) == sorted(str((k, t)) for k, t in [(3, far[0]), (7, far[1]), (7, far[2]), (7, far[3]), (9, far[4]), (None, far[5])])
+
+
 def test_trie_links_equal_brute_force():
     v = RNG.integers(0, 1 << 63, 400).astype(np.uint64)
     v = np.unique(np.concatenate([v, v[:200] ^ np.uint64(1), v[:100] ^ np.uint64(1 << 62 | 8), v[:50] ^ np.uint64(7)]))

@@ -1,4 +1,4 @@
-"""Generators of benchmark workloads, as column expressions over an index column or a number in [0, 1)."""
+"""Generators of benchmark workloads: random draws of an index, and column expressions over an index or a draw."""
 
 from __future__ import annotations
 
@@ -19,9 +19,74 @@ def missing_key(n: Column) -> Column:
     return F.concat(key(n), F.lit("."))
 
 
-def uniform(n: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) from an index, of 31 bits (a Lehmer step, exact in a bigint)."""
-    return F.pmod((n + seed + 1) * 48271 + 11, F.lit(2147483647)) / F.lit(2147483647.0)
+# The step and the two multipliers of SplitMix64.
+STEP, MIXERS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_HALF = (1 << 32) - 1
+
+
+def _masked(c: Column, mask: int = _HALF) -> Column:
+    return c.bitwiseAND(F.lit(mask))
+
+
+def _bound(made: Column, use) -> Column:
+    """use(made), with made computed once: a name in the expression, whichever plan it ends up in."""
+    return F.transform(F.array(made), use)[0]
+
+
+def _times(low: Column, factor: int) -> tuple[Column, Column]:
+    """(lower, upper 32 bits) of low * factor, both below 2**32; no step leaves a bigint."""
+    first = _masked(low, 0xFFFF) * F.lit(factor)
+    second = F.shiftright(low, 16) * F.lit(factor)
+    total = first + F.shiftleft(_masked(second, 0xFFFF), 16)
+    return _masked(total), F.shiftright(total, 32) + F.shiftright(second, 16)
+
+
+def _multiplied(z: Column, factor: int) -> Column:
+    """z * factor modulo 2**64, on structs of the halves (hi, lo)."""
+    high, low = factor >> 32, factor & _HALF
+
+    def made(z: Column) -> Column:
+        lower, carry = _times(z["lo"], low)
+        upper = carry + _times(z["lo"], high)[0] + _times(z["hi"], low)[0]
+        return F.struct(_masked(upper).alias("hi"), lower.alias("lo"))
+
+    return _bound(z, made)
+
+
+def _mixed(z: Column, by: int) -> Column:
+    """z ^ z >> by."""
+
+    def made(z: Column) -> Column:
+        down = F.shiftright(z["lo"], by).bitwiseOR(_masked(F.shiftleft(z["hi"], 32 - by)))
+        return F.struct(z["hi"].bitwiseXOR(F.shiftright(z["hi"], by)).alias("hi"), z["lo"].bitwiseXOR(down).alias("lo"))
+
+    return _bound(z, made)
+
+
+def uniform(index: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) of 53 bits: the draw of that (non-negative) index of the SplitMix64 sequence of seed.
+
+    64-bit products are made of 32-bit halves, as ANSI bigints don't wrap.
+    """
+    start = _bound((index + 1).cast("long"), lambda n: F.struct(F.shiftright(n, 32).alias("hi"), _masked(n).alias("lo")))
+
+    def seeded(z: Column) -> Column:
+        low = z["lo"] + F.lit(seed & _HALF)
+        return F.struct(_masked(z["hi"] + F.lit(seed >> 32 & _HALF) + F.shiftright(low, 32)).alias("hi"), _masked(low).alias("lo"))
+
+    z = _bound(_multiplied(start, STEP), seeded)
+    for by, factor in zip((30, 27), MIXERS):
+        z = _multiplied(_mixed(z, by), factor)
+    return _bound(_mixed(z, 31), lambda z: (z["hi"] * F.lit(1 << 21) + F.shiftright(z["lo"], 11)) * F.lit(2.0**-53))
+
+
+def uniform_sql(index: str, seed: int = 0) -> str:
+    """The same number in DuckDB's SQL, by its unsigned 128-bit integers."""
+    wrap = f"{1 << 64}::UHUGEINT"
+    z = f"((({index}) + 1)::UHUGEINT * {STEP}::UHUGEINT + {seed}::UHUGEINT) % {wrap}"
+    for by, factor in zip((30, 27), MIXERS):
+        z = f"list_transform([{z}], lambda z: (xor(z, z >> {by}::UHUGEINT) * {factor}::UHUGEINT) % {wrap})[1]"
+    return f"list_transform([{z}], lambda z: (xor(z, z >> 31::UHUGEINT) >> 11::UHUGEINT)::DOUBLE * {2.0**-53!r}::DOUBLE)[1]"
 
 
 @cache

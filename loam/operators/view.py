@@ -7,7 +7,9 @@ asked for; the newest visible one decides, and only then a tombstone hides its k
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from loam.operators.prefix import cuts_of, directions, part_of, parts_for
 
 LOG_COLUMNS = ("user_key", "seq", "vtype", "val")
 MAX_SEQUENCE = 2**56 - 1
@@ -49,21 +51,37 @@ def get(log: DataFrame, key, as_of: int | None = None) -> DataFrame:
     return visible(log.where(F.col("user_key") == F.lit(key)), as_of)
 
 
-def _before(probe_seq: Column, seq: Column) -> Column:
-    return probe_seq.isNull() | (seq <= probe_seq)
-
-
-def multi_get(log: DataFrame, probes: DataFrame) -> DataFrame:
+def multi_get(log: DataFrame, probes: DataFrame, parts: int | None = None) -> DataFrame:
     """probes (probe_id, user_key, as_of or null) -> probe_id, user_key, as_of, state, seq, val; one row a probe.
 
-    state is Found, Deleted or NotPresent. The join is on the key; only the aggregation is by probe.
+    state is Found, Deleted or NotPresent. Versions and probes go into one order by key and sequence, cut into parts of
+    about equal size; inside a part each probe takes the last version before it, and a part's first probes take the last
+    version of an earlier part. Linear in versions and probes, also for a key that holds most of them. Ids may be null
+    or repeated: nothing is grouped by them. A null key is NotPresent.
     """
-    rows = log.select(F.col("user_key").alias("_key"), "seq", "vtype", "val")
-    hits = probes.join(rows, (F.col("user_key") == F.col("_key")) & _before(F.col("as_of"), F.col("seq")))
-    best = hits.groupBy("probe_id").agg(F.max("seq").alias("seq"), F.max_by("vtype", "seq").alias("vtype"), F.max_by("val", "seq").alias("val"))
-    state = F.when(F.col("vtype").isNull(), "NotPresent").when(F.col("vtype") == 0, "Deleted").otherwise("Found")
-    found = F.col("vtype") == 1
-    return probes.join(best, "probe_id", "left").select("probe_id", "user_key", "as_of", state.alias("state"), F.when(found, F.col("seq")).alias("seq"), F.when(found, F.col("val")).alias("val"))
+    version = F.struct(F.col("user_key").alias("k"), "seq", "vtype", "val")
+    rows = log.select("user_key", F.col("seq").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).alias("_tie"), version.alias("_v"))
+    # equal probes are told apart by where they were read, so that very many of them are cut too
+    asked = probes.select("user_key", F.coalesce("as_of", F.lit(MAX_SEQUENCE)).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.spark_partition_id().alias("_tie"), F.struct("probe_id", "as_of").alias("_p"))
+    both = rows.unionByName(asked, allowMissingColumns=True)
+    order = [(c, True) for c in ("user_key", "_at", "_kind", "_tie")]
+    cuts = cuts_of(both, order, parts_for(both, parts))
+    placed = both.withColumn("_part", part_of(order, cuts))
+    near = Window.partitionBy("_part").orderBy(*directions(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = placed.withColumn("_v", F.last("_v", True).over(near)).where("_kind = 1")
+    if cuts:
+        # what a part's first probes may need: the last version, in the parts before, of the key at the cut
+        next_keys = F.array(*(F.lit(cut.user_key) for cut in cuts))
+        ends = rows.withColumn("_part", part_of(order, cuts)).where(F.col("user_key") == F.get(next_keys, F.col("_part")))
+        ends = ends.groupBy("_part").agg(F.max_by("_v", "_at").alias("_end"))
+        every = log.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_part"))  # a row a part
+        earlier = F.last("_end", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        borders = every.join(ends, "_part", "left").select("_part", earlier.alias("_earlier"))
+        best = best.join(F.broadcast(borders), "_part").withColumn("_v", F.when(F.col("_v.k") == F.col("user_key"), F.col("_v")).otherwise(F.col("_earlier")))
+    hit = F.when(F.col("_v.k") == F.col("user_key"), F.col("_v"))
+    state = F.when(hit.isNull(), "NotPresent").when(hit["vtype"] == 0, "Deleted").otherwise("Found")
+    found = hit["vtype"] == 1
+    return best.select("_p.probe_id", "user_key", "_p.as_of", state.alias("state"), F.when(found, hit["seq"]).alias("seq"), F.when(found, hit["val"]).alias("val"))
 
 
 def seek(log: DataFrame, target=None, n: int = 1, as_of: int | None = None, lower=None, upper=None, descending: bool = False, exclusive: bool = False) -> DataFrame:

@@ -48,9 +48,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are spread over twice the range of users, so that about half of them are absent."""
     orders = _table(spark, sf_dir, "orders")
-    n = size(spark, sf_dir)
-    return orders.select(F.col("o_orderkey").alias("probe_id"), workload.key(F.col("o_custkey") % 200).alias("user_key"), (F.col("o_orderkey") * 7919 % n).alias("as_of"))
+    n, twice = _table(spark, sf_dir, "events").agg(F.count("*"), 2 * (F.max("user_id") + 1)).first()
+    return orders.select(F.col("o_orderkey").alias("probe_id"), workload.key(F.col("o_custkey") % twice).alias("user_key"), (F.col("o_orderkey") * 7919 % n).alias("as_of"))
 
 
 _LOG = "L AS (SELECT lpad(user_id::VARCHAR, 16, '0') AS user_key, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS vtype, CASE WHEN event_type <> 'error' THEN value END AS val FROM events), C AS (SELECT count(*) AS n, max(user_id) + 1 AS top FROM events)"
@@ -111,7 +112,7 @@ def point_get_as_of(spark, d):
     return view.get(log(spark, d), KEY, size(spark, d) // 3)
 
 
-_PROBES = _LOG + ", P AS (SELECT o_orderkey AS probe_id, lpad((o_custkey % 200)::VARCHAR, 16, '0') AS user_key, o_orderkey * 7919 % n AS as_of FROM orders, C), H AS (SELECT probe_id, L.seq, vtype, val, row_number() OVER (PARTITION BY probe_id ORDER BY L.seq DESC) AS rn FROM P JOIN L ON P.user_key = L.user_key AND seq <= as_of)"
+_PROBES = _LOG + ", P AS (SELECT o_orderkey AS probe_id, lpad((o_custkey % (2 * top))::VARCHAR, 16, '0') AS user_key, o_orderkey * 7919 % n AS as_of FROM orders, C), H AS (SELECT probe_id, L.seq, vtype, val, row_number() OVER (PARTITION BY probe_id ORDER BY L.seq DESC) AS rn FROM P JOIN L ON P.user_key = L.user_key AND seq <= as_of)"
 
 
 @query(f"WITH {_PROBES} SELECT P.probe_id, user_key, as_of, CASE WHEN vtype IS NULL THEN 'NotPresent' WHEN vtype = 0 THEN 'Deleted' ELSE 'Found' END AS state, CASE WHEN vtype = 1 THEN seq END AS seq, CASE WHEN vtype = 1 THEN val END AS val FROM P LEFT JOIN (SELECT * FROM H WHERE rn = 1) h ON P.probe_id = h.probe_id")
@@ -119,12 +120,27 @@ def asof_multi_get(spark, d):
     return view.multi_get(log(spark, d), probes(spark, d))
 
 
-@query(f"WITH {_LOG}, P AS (SELECT lpad(i::VARCHAR, 16, '0') AS user_key FROM range(0, 300) r(i)) SELECT P.user_key, CASE WHEN vtype IS NULL THEN 'NotPresent' WHEN vtype = 0 THEN 'Deleted' ELSE 'Found' END AS state FROM P LEFT JOIN {_newest('seq <= (SELECT n // 2 FROM C)')} v ON P.user_key = v.user_key")
+@query(f"WITH {_LOG}, P AS (SELECT lpad(i::VARCHAR, 16, '0') AS user_key FROM range(0, (SELECT 2 * top FROM C)) r(i)) SELECT P.user_key, CASE WHEN vtype IS NULL THEN 'NotPresent' WHEN vtype = 0 THEN 'Deleted' ELSE 'Found' END AS state FROM P LEFT JOIN {_newest('seq <= (SELECT n // 2 FROM C)')} v ON P.user_key = v.user_key")
 def lookup_state(spark, d):
-    p = spark.range(300).select(F.col("id").alias("probe_id"), workload.key(F.col("id")).alias("user_key"), F.lit(size(spark, d) // 2).cast("long").alias("as_of"))
+    """Every user's key, and as many that no user has."""
+    n, top = _table(spark, d, "events").agg(F.count("*"), F.max("user_id") + 1).first()
+    p = spark.range(2 * top).select(F.col("id").alias("probe_id"), workload.key(F.col("id")).alias("user_key"), F.lit(n // 2).cast("long").alias("as_of"))
     return view.multi_get(log(spark, d), p).select("user_key", "state")
 
 
+_HOT = _LOG.replace("lpad(user_id::VARCHAR, 16, '0') AS user_key", "CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE lpad(user_id::VARCHAR, 16, '0') END AS user_key")
+
+
+@query(f"WITH {_HOT}, P AS (SELECT CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 5 END AS probe_id, CASE o_orderkey % 3 WHEN 0 THEN 'hot' WHEN 1 THEN lpad((o_custkey % (2 * top))::VARCHAR, 16, '0') END AS user_key, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey * 7919 % n END AS as_of, row_number() OVER () AS r FROM orders, C), D AS (SELECT DISTINCT user_key AS k, as_of AS a FROM P), H AS (SELECT k, a, max(seq) AS s FROM D JOIN L ON k = user_key AND (a IS NULL OR seq <= a) GROUP BY k, a) SELECT probe_id, P.user_key, as_of, CASE WHEN vtype IS NULL THEN 'NotPresent' WHEN vtype = 0 THEN 'Deleted' ELSE 'Found' END AS state, CASE WHEN vtype = 1 THEN seq END AS seq, CASE WHEN vtype = 1 THEN val END AS val FROM P LEFT JOIN H ON P.user_key = k AND as_of IS NOT DISTINCT FROM a LEFT JOIN L ON L.user_key = k AND seq = s")
+def asof_multi_get_hot(spark, d):
+    """A key with a third of all versions and probes; ids, keys and sequences that are null or repeated."""
+    n, top = _table(spark, d, "events").agg(F.count("*"), F.max("user_id") + 1).first()
+    o = F.col("o_orderkey")
+    hot = log(spark, d).withColumn("user_key", F.when(F.col("seq") % 3 == 1, "hot").otherwise(F.col("user_key")))
+    asked = _table(spark, d, "orders").select(F.when(o % 4 > 0, o % 5).alias("probe_id"), F.when(o % 3 == 0, "hot").when(o % 3 == 1, workload.key(F.col("o_custkey") % (2 * top))).alias("user_key"), F.when(o % 7 > 0, o * 7919 % n).alias("as_of"))
+    return view.multi_get(hot, asked)
+
+
 @query(_view(f"user_key >= '{LOW}'", "ORDER BY user_key LIMIT 20"))
 def seek_n(spark, d):
     return view.seek(log(spark, d), LOW, 20)
@@ -205,7 +221,7 @@ def compaction_next_file(spark, d):
     return compaction.next_file(files(spark, d), 1, HIGH).select("level", "number")
 
 
-@query(f"WITH {_TREE}, P AS (SELECT DISTINCT lpad((o_custkey % 200)::VARCHAR, 16, '0') AS user_key FROM orders) SELECT user_key, level, number, row_number() OVER (PARTITION BY user_key ORDER BY level, number DESC) AS asked FROM P JOIN F ON user_key BETWEEN smallest AND largest")
+@query(f"WITH {_TREE}, P AS (SELECT DISTINCT lpad((o_custkey % (2 * top))::VARCHAR, 16, '0') AS user_key FROM orders, C) SELECT user_key, level, number, row_number() OVER (PARTITION BY user_key ORDER BY level, number DESC) AS asked FROM P JOIN F ON user_key BETWEEN smallest AND largest")
 def lookup_candidates(spark, d):
     return compaction.candidates(files(spark, d), probes(spark, d).select("user_key").distinct())
 
@@ -287,24 +303,33 @@ def write_amplification(spark, d):
     return stats.write_amplification(rows).withColumn("amplification", F.round("amplification", 6))
 
 
-_U = "((i + 1) * 48271 + 11) % 2147483647 / 2147483647.0::DOUBLE"
+SEED = 42
+_U = workload.uniform_sql("event_id", SEED)
 _ZETA = "Z AS (SELECT n, (SELECT sum(pow(r::DOUBLE, -0.99)) FROM range(1, n + 1) x(r)) AS z, 1 + pow(0.5, 0.99) AS z2 FROM C)"
 
 
-@query(f"WITH {_LOG}, {_ZETA}, U AS (SELECT event_id AS i, {_U.replace('i', 'event_id', 1)} AS u FROM events), R AS (SELECT i, n, CASE WHEN u * z < 1 THEN 0 WHEN u * z < 1 + pow(0.5, 0.99) THEN 1 ELSE least(floor(n * pow((1 - pow(2.0 / n, 0.01)) / (1 - z2 / z) * u - (1 - pow(2.0 / n, 0.01)) / (1 - z2 / z) + 1, 1 / (1 - 0.99::DOUBLE))), n - 1) END AS rank FROM U, Z) SELECT i, rank::BIGINT AS rank, ((rank::BIGINT + 1) * 4294967291) % n AS scrambled FROM R WHERE rank < 1000")
+def _drawn(spark, d):
+    return _table(spark, d, "events").select("event_id", workload.uniform(F.col("event_id"), SEED).alias("u"))
+
+
+@query(f"WITH {_LOG} SELECT event_id AS i, {_U} AS u, {workload.uniform_sql('event_id * 1000003', 7)} AS other FROM events")
+def uniform_draws(spark, d):
+    return _drawn(spark, d).select(F.col("event_id").alias("i"), "u", workload.uniform(F.col("event_id") * 1000003, 7).alias("other"))
+
+
+@query(f"WITH {_LOG}, {_ZETA}, U AS (SELECT event_id AS i, {_U} AS u FROM events), R AS (SELECT i, n, CASE WHEN u * z < 1 THEN 0 WHEN u * z < 1 + pow(0.5, 0.99) THEN 1 ELSE least(floor(n * pow((1 - pow(2.0 / n, 0.01)) / (1 - z2 / z) * u - (1 - pow(2.0 / n, 0.01)) / (1 - z2 / z) + 1, 1 / (1 - 0.99::DOUBLE))), n - 1) END AS rank FROM U, Z) SELECT i, rank::BIGINT AS rank, ((rank::BIGINT + 1) * 4294967291) % n AS scrambled FROM R")
 def zipf_scramble(spark, d):
     n = size(spark, d)
-    rows = _table(spark, d, "events").select(F.col("event_id").alias("i"), workload.zipf_rank(workload.uniform(F.col("event_id")), n).alias("rank"))
-    # every event: the SQL ends at rank 1000, beyond which two engines' pow() may floor to different integers
+    rows = _drawn(spark, d).select(F.col("event_id").alias("i"), workload.zipf_rank(F.col("u"), n).alias("rank"))
     return rows.select("i", "rank", workload.scramble(F.col("rank"), n).alias("scrambled"))
 
 
 def _arrivals(spark, d):
-    rows = _table(spark, d, "events").select(F.col("event_id").alias("i"), workload.gap_ns(workload.uniform(F.col("event_id")), 1e5).alias("gap"), (F.lit(2000) + (F.col("event_id") * 2654435761) % 9000).alias("service"))
+    rows = _drawn(spark, d).select(F.col("event_id").alias("i"), workload.gap_ns(F.col("u"), 1e5).alias("gap"), (F.lit(2000) + (F.col("event_id") * 2654435761) % 9000).alias("service"))
     return running(rows, "i", "gap", "scheduled")
 
 
-_ARRIVALS = f"A AS (SELECT event_id AS i, floor(-ln(1 - {_U.replace('i', 'event_id', 1)}) * 10000.0)::BIGINT AS gap, 2000 + (event_id * 2654435761) % 9000 AS service FROM events), S AS (SELECT *, (sum(gap) OVER (ORDER BY i))::BIGINT AS scheduled, (sum(service) OVER (ORDER BY i))::BIGINT AS busy FROM A)"
+_ARRIVALS = f"A AS (SELECT event_id AS i, floor(-ln(1 - {_U}) * 10000.0)::BIGINT AS gap, 2000 + (event_id * 2654435761) % 9000 AS service FROM events), S AS (SELECT *, (sum(gap) OVER (ORDER BY i))::BIGINT AS scheduled, (sum(service) OVER (ORDER BY i))::BIGINT AS busy FROM A)"
 
 
 @query(f"WITH {_ARRIVALS} SELECT i, gap, scheduled FROM S")
@@ -320,11 +345,11 @@ def open_loop_latency(spark, d):
     return rows.select("i", "scheduled", "ended", (F.col("ended") - F.col("scheduled")).alias("response"), (F.col("ended") - F.col("service") - F.col("scheduled")).alias("waited"))
 
 
-@query(f"WITH {_LOG} SELECT event_id AS i, CASE WHEN {_U.replace('i', 'event_id', 1)} < 0.95 THEN 'read' ELSE 'write' END AS op, lpad(((event_id * 2654435761) % n)::VARCHAR, 16, '0') || CASE WHEN event_id % 10 = 0 THEN '.' ELSE '' END AS key FROM events, C")
+@query(f"WITH {_LOG} SELECT event_id AS i, CASE WHEN {_U} < 0.95 THEN 'read' ELSE 'write' END AS op, lpad(((event_id * 2654435761) % n)::VARCHAR, 16, '0') || CASE WHEN event_id % 10 = 0 THEN '.' ELSE '' END AS key FROM events, C")
 def mixed_operations(spark, d):
     n = size(spark, d)
     at = F.pmod(F.col("event_id") * 2654435761, F.lit(n))
-    return _table(spark, d, "events").select(F.col("event_id").alias("i"), F.when(workload.is_read(workload.uniform(F.col("event_id")), 0.95), "read").otherwise("write").alias("op"), F.when(F.col("event_id") % 10 == 0, workload.missing_key(at)).otherwise(workload.key(at)).alias("key"))
+    return _drawn(spark, d).select(F.col("event_id").alias("i"), F.when(workload.is_read(F.col("u"), 0.95), "read").otherwise("write").alias("op"), F.when(F.col("event_id") % 10 == 0, workload.missing_key(at)).otherwise(workload.key(at)).alias("key"))
 
 
 @query(f"WITH {_LOG} SELECT user_key, seq, '''' || user_key || ''' @ ' || seq || CASE WHEN vtype = 0 THEN ' DEL' ELSE ' PUT => ''' || (val * 100)::BIGINT || '''' END AS line FROM L")

@@ -41,7 +41,11 @@ def test_zipf_scramble_returns_every_event(spark, tmp_path):
     ids = np.arange(0, 60_000 * 37, 37, dtype=np.int64)
     spark.createDataFrame([(int(i),) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
     n, theta = len(ids), 0.99
-    u = ((ids + 1) * 48271 + 11) % 2147483647 / 2147483647.0
+    with np.errstate(over="ignore"):
+        z = np.uint64(42) + (ids + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ z >> np.uint64(31)) >> np.uint64(11)) * 2.0**-53
     zeta = (np.arange(1, n + 1, dtype=float) ** -theta).sum()
     eta = (1 - (2 / n) ** (1 - theta)) / (1 - (1 + 0.5**theta) / zeta)
     tail = np.minimum(n * (eta * u - eta + 1) ** (1 / (1 - theta)), n - 1)
@@ -53,3 +57,23 @@ def test_zipf_scramble_returns_every_event(spark, tmp_path):
     assert (ranks == np.floor(exact))[~near].all() and (np.abs(ranks - exact) <= 1.001)[near].all()
     assert [got[i].scrambled for i in ids.tolist()] == [(int(r) + 1) * 4294967291 % n for r in ranks]
     assert (ranks >= 1000).sum() > n / 4 and near.mean() < 0.001
+
+
+def test_generators_are_random_and_whole_at_a_larger_scale(spark):
+    """Mean, spread and serial correlation; the share of writes; and the SQL's rows at sf0.1."""
+    data = DATA.replace("0.01", "0.1")
+    rows = QUERIES["uniform_draws"](spark, data).orderBy("i").toPandas()
+    for u in (rows.u.to_numpy(), rows.other.to_numpy()):
+        assert abs(u.mean() - 0.5) < 0.005 and abs(u.std() - 12**-0.5) < 0.005 and abs(np.corrcoef(u[1:], u[:-1])[0, 1]) < 0.02
+        assert abs(np.corrcoef(u, rows.i)[0, 1]) < 0.02 and 0 <= u.min() < 0.001 and 0.999 < u.max() < 1
+    gaps = QUERIES["poisson_schedule"](spark, data).orderBy("i").toPandas().gap.to_numpy(float)
+    assert abs(gaps.mean() / 1e4 - 1) < 0.02 and abs(gaps.std() / 1e4 - 1) < 0.03 and abs(np.corrcoef(gaps[1:], gaps[:-1])[0, 1]) < 0.02
+    for d in (DATA, data):
+        ops = QUERIES["mixed_operations"](spark, d).toPandas().op
+        assert 0.04 < (ops == "write").mean() < 0.06
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{data}/events.parquet'")
+    for name in ("uniform_draws", "zipf_scramble", "poisson_schedule", "open_loop_latency", "mixed_operations"):
+        cur = con.execute(ORACLE_SQL[name])
+        got = QUERIES[name](spark, data).select(*(c[0] for c in cur.description)).collect()
+        assert len(got) == 100_000 and plain(got) == plain(cur.fetchall())

@@ -38,11 +38,16 @@ class Files:
             stream.close()
 
     def create(self, name: str, content: bytes) -> None:
-        """Fails if the file is there: the lock."""
+        """Fails if the file is there: a claim."""
         stream = self._fs.create(self._path(name), False)
         stream.write(bytearray(content))
         stream.close()
 
+    def replace(self, name: str, content: bytes) -> None:
+        stream = self._fs.create(self._path(name), True)
+        stream.write(bytearray(content))
+        stream.close()
+
     def publish(self, name: str, content: bytes, sync: bool = True) -> None:
         """The file appears whole or not at all: written aside, synced, renamed; an existing one is an error."""
         aside = f"{name}.{uuid.uuid4().hex}.tmp"
@@ -55,5 +60,16 @@ class Files:
             self._fs.delete(self._path(aside), False)
             raise FileExistsError(name)
 
+    def move(self, name: str, to: str) -> None:
+        self._fs.rename(self._path(name), self._path(to))
+
+    def tree(self, folder: str) -> list[str]:
+        """All files below a folder, as the names of their last folder and file."""
+        found, out = self._fs.listFiles(self._path(folder), True), []
+        while found.hasNext():
+            path = found.next().getPath()
+            out.append(f"{path.getParent().getName()}/{path.getName()}")
+        return out
+
     def size(self, folder: str) -> int:
         return self._fs.getContentSummary(self._path(folder)).getLength()

@@ -39,11 +39,23 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    drop_left(df)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
+def leaving(df: DataFrame, *used: DataFrame) -> DataFrame:
+    """df, which reads the staged tables used; stage(df), or drop_left(df) once df has been written, removes them."""
+    df._left = used
+    return df
+
+
+def drop_left(df: DataFrame) -> None:
+    for used in getattr(df, "_left", ()):
+        drop_staged(used)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove what stage() wrote; only for tables that no later plan reads."""
     spark = df.sparkSession

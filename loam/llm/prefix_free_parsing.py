@@ -1,15 +1,24 @@
 """Exact substring deduplication by suffix arrays over prefix-free parsing.
 
-A byte goes if a WIDTH-byte string that covers it also starts in a document with a smaller id. Documents lie in blocks
-(a bucketed table, so that their texts are shuffled once). Per block, rolling-hash triggers cut the documents into
-phrases; phrases whose whole content occurs under a smaller id are settled by their 96-bit hashes (the document of the
-smallest id that has a string is never settled there, so that nothing is lost to the rest). In the rest, every string
-has an anchor (the least GRAM-byte hash in it), so that equal strings have equal anchors; strings whose anchor occurs in
-one document only are settled too. The strings that remain are sent as fragments, dealt by anchor; there each
-set of distinct fragments is parsed prefix-free, and the suffix arrays of its dictionary and of its parse are combined
-into the order of all suffixes, in which equal strings are neighbours. An anchor in very many fragments is
-dealt by the strings themselves. Counts, candidates and comparisons cover all texts; equal bytes decide, not hashes,
-except for whole phrases.
+A byte goes if a WIDTH-byte string that covers it also starts in a document with a smaller id. Rolling-hash triggers cut
+all documents into phrases, which overlap by WIDTH - 1 bytes, so that every string lies whole in one phrase and the
+groups of equal strings can be read from the order of the suffixes of the distinct phrases: the dictionary. The parse
+tells which documents have a phrase. Steps, all distributed:
+
+1. parse: a row a phrase and document (its name, a 128-bit hash; the row's key; place). Its bytes go along once a task.
+2. dictionary: distinct phrases, told apart by their bytes, with their smallest id; in parts by name. Two phrases of one
+   name are found here, and all is done again with another seed: no decision rests on equal hashes.
+3. Every string has an anchor (the least GRAM-byte hash in it), so that equal strings have equal anchors. Strings whose
+   anchor is in one phrase only are in no other; the rest go as fragments of the dictionary to buckets, by anchor (by the
+   strings themselves, if the anchor is in very many phrases).
+4. There the fragments are themselves parsed prefix-free, and the suffix arrays of their dictionary and parse combined
+   into the order of all suffixes, in which equal strings are neighbours, compared by their bytes. Every string gets the
+   smallest id of its group.
+5. The strings' smallest ids go back to the dictionary, from there by name to the parse, and as ranges to the documents.
+
+Repeated text costs a row a phrase, whatever its number of copies. Parts and buckets exchange a row for each pair of
+them, as a shuffle has a segment for each pair of its tasks; at 100 TB parts of 1 GB (BLOCK) keep these rows at 4 kB.
+A phrase, or a row, that a third of all documents have is a hot key of a join only, which adaptive execution splits.
 
 Defined results: a null text counts as empty; documents of one id (repeated rows) never remove each other's bytes; null
 ids come after all others; an empty table gives an empty table; only id (an integer) and text are read, so that clashing
@@ -19,21 +28,22 @@ extra columns don't matter. Texts are read whole; very long ones in segments.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from loam.llm.common import bound_batches, drop_staged, shared_dir, stage
+from loam.llm.common import bound_batches, drop_staged, leaving, map_rows, stage
 
 WIDTH, GRAM = 50, 24
-#: Bytes of text in a block; bytes of a segment; mean bytes of a phrase; fragments of one anchor that go to one place.
-#: A larger corpus takes larger blocks (256 MB at 100 TB), as each block has a row for each other one at most.
-BLOCK, SEGMENT, PHRASE, HOT = 16 << 20, 1 << 20, 128, 1 << 15
-#: Parts of a bucket; bytes of fragments that are sorted together (a part more at most).
-PARTS, AT_ONCE = 1024, 1 << 20
+#: Bytes of distinct phrases in a part; bytes that are parsed at once; mean bytes of a phrase; phrases of one anchor that go to one place.
+BLOCK, SEGMENT, PHRASE, HOT = 16 << 20, 1 << 19, 256, 1 << 15
+#: Parts of a bucket; bytes of fragments that are sorted together (a part more at most); phrases that a task knows.
+PARTS, AT_ONCE, KNOWN = 1024, 1 << 20, 100_000
+#: Seeds that are tried, should two phrases have one name.
+SEEDS = 8
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(5)
@@ -78,36 +88,105 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(x) - w + 1], m[w - done : w - done + len(x) - w + 1])
 
 
-class Segment:
-    """The strings of WIDTH bytes that start in one stretch of a document."""
-
-    def __init__(self, raw: bytes, low: int, size: int):
-        self.low = low
-        self.raw = raw[low : low + size + WIDTH - 1]
-        b = np.frombuffer(self.raw, np.uint8)
-        self.n = len(b) - WIDTH + 1
-        grams, self.strings = rolling(b, (GRAM, WIDTH))
+class Flat:
+    """Texts laid end to end, and the strings of WIDTH bytes in each."""
+
+    def __init__(self, raws: list[bytes]):
+        self.raw = b"".join(raws)
+        self.bytes = np.frombuffer(self.raw, np.uint8)
+        lens = np.array([len(x) for x in raws], np.int64)
+        self.low = np.cumsum(lens) - lens
+        self.strings = np.maximum(lens - WIDTH + 1, 0)
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, number of strings) of every phrase, in order."""
+        (grams,) = rolling(self.bytes, (GRAM,))
+        at = np.flatnonzero((grams & np.uint64(PHRASE - 1)) == 0)
+        owner = np.searchsorted(self.low, at, side="right") - 1
+        place = at - self.low[owner]
+        inside = (place > 0) & (place < self.strings[owner])
+        some = np.flatnonzero(self.strings)
+        start = np.concatenate([self.low[some], at[inside]])
+        owner = np.concatenate([some, owner[inside]])
+        order = np.argsort(start, kind="stable")
+        start, owner = start[order], owner[order]
+        end = self.low[owner] + self.strings[owner]
+        end[:-1] = np.where(owner[1:] == owner[:-1], start[1:], end[:-1])
+        return owner, start, end - start
+
+    def anchored(self) -> tuple[np.ndarray, ...]:
+        """(place, text, hash, anchor, anchor's place) of every string."""
+        grams, strings = rolling(self.bytes, (GRAM, WIDTH))
         place = np.arange(len(grams), dtype=np.uint64)
         least = window_min((grams & np.uint64(0xFFFFFFFFFF000000)) | place, WIDTH - GRAM + 1)
-        self.at = (least & np.uint64(0xFFFFFF)).astype(np.int64)  # of each string's anchor
-        self.anchor = least >> np.uint64(24)
-        cuts = np.flatnonzero((grams[: self.n] & np.uint64(PHRASE - 1)) == 0)
-        self.cuts = np.concatenate([[0], cuts[cuts > 0], [self.n]])
-
-    def phrases(self) -> list[bytes]:
-        c = self.cuts.tolist()
-        return [xxhash.xxh3_128_digest(self.raw[s : e + WIDTH - 1])[:12] for s, e in zip(c, c[1:])]
-
-
-def segments(raw: bytes, size: int):
-    for low in range(0, len(raw) - WIDTH + 1, size):
-        yield Segment(raw, low, size)
-
-
-def _ordered(t: pa.Table) -> list[tuple[int, bytes, int]]:
-    """(id, bytes, row) of a block's documents, in an order that doesn't depend on how they came."""
-    ids = [NO_ID if x is None else x for x in t.column("doc_id").to_pylist()]
-    return sorted(zip(ids, t.column("raw").to_pylist(), range(len(ids))))
+        owner = np.repeat(np.arange(len(self.low)), self.strings)
+        first = np.cumsum(self.strings) - self.strings
+        at = np.arange(len(owner)) - first[owner] + self.low[owner]
+        least = least[at]
+        return at, owner, strings[at], least >> np.uint64(24), (least & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
+def _chunks(sizes: list[int], most: int):
+    """Ranges of texts of about `most` bytes together."""
+    low, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield low, i + 1
+            low, total = i + 1, 0
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
+_PARSED = "name binary, row binary, id long, start long, strings long, raw binary"
+
+
+def parsed(rows: DataFrame, seed: int, segment: int) -> DataFrame:
+    """rows (row, id, raw) -> the phrases of every row; with raw where this task has not sent the phrase for such an id yet."""
+    bound_batches(rows.sparkSession)
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["name", "row", "id", "start", "strings", "raw"]
+
+    def run(batches):
+        known: dict[bytes, list] = {}  # phrase: name, smallest id sent, whether two ids were sent
+        out, size = [], 0
+
+        def flushed():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+        for batch in batches:
+            keys, ids, raws = (c.to_pylist() for c in batch.columns)
+            pieces = [(i, low, raw[low : low + segment + WIDTH - 1]) for i, raw in enumerate(raws) for low in range(0, len(raw) - WIDTH + 1, segment)]
+            for a, b in _chunks([len(x[2]) for x in pieces], segment):
+                flat = Flat([x[2] for x in pieces[a:b]])
+                for j, start, n in zip(*(x.tolist() for x in flat.phrases())):
+                    i, low, _ = pieces[a + j]
+                    phrase, k = flat.raw[start : start + n + WIDTH - 1], NO_ID if ids[i] is None else ids[i]
+                    got, send = known.get(phrase), None
+                    if got is None:
+                        if len(known) >= KNOWN or n > 1 << 14:
+                            known.clear()
+                        got, send = [xxhash.xxh3_128_digest(phrase, seed), k, False], phrase
+                        known[phrase] = got
+                    elif k < got[1] or k != got[1] and not got[2]:
+                        got[1], got[2], send = min(k, got[1]), True, phrase
+                    out.append((got[0], keys[i], k, low + start - int(flat.low[j]), n, send))
+                    size += 120 + (len(phrase) if send else 0)
+                    if size > 4 << 20:
+                        yield flushed()
+                        out, size = [], 0
+        if out:
+            yield flushed()
+
+    return rows.select("row", "id", "raw").mapInArrow(run, _PARSED)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _whole(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
 
 
 def _pack(x: np.ndarray, size: int) -> bytes:
@@ -120,156 +199,126 @@ def _unpack(raw: bytes, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+_ROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("kind", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
+_SQL = "bucket long, part long, kind long, keys binary, extra binary"
+#: Kinds of rows: anchors of a part by bucket; a part of the dictionary; fragments by bucket; where they stand; smallest ids; two phrases of one name.
+ANCHORS, PHRASES, FRAGMENTS, PLACES, LEAST, CLASH = range(6)
+
+
 def _table(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [[]] * 5, _REQUEST.types)], schema=_REQUEST)
+    return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [[]] * 5, _ROW.types)], schema=_ROW)
+
+
+def _by_bucket(bucket: np.ndarray):
+    """(bucket, which) of the items of each bucket, in order."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for low, high in zip(cuts, np.append(cuts[1:], len(order))):
+        yield int(bucket[order[low]]), order[low:high]
+
+
+class Phrases:
+    """A part of the dictionary: names, texts, smallest ids, and whether two ids have the phrase."""
+
+    def __init__(self, row: dict):
+        raw, extra = _whole(row["keys"]), _whole(row["extra"])
+        n = len(extra) // 29
+        self.names, lens = extra[: 16 * n], np.frombuffer(extra, "<u4", n, 16 * n)
+        self.least = np.frombuffer(extra, "<i8", n, 20 * n)
+        self.several = np.frombuffer(extra, bool, n, 28 * n)
+        cuts = [0, *np.cumsum(lens, dtype=np.int64).tolist()]
+        self.texts = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    @staticmethod
+    def row(part: int, names: list[bytes], texts: list[bytes], least: np.ndarray, most: np.ndarray) -> tuple:
+        extra = b"".join(names) + np.array([len(t) for t in texts], "<u4").tobytes() + least.astype("<i8").tobytes() + (most > least).tobytes()
+        return -1, part, PHRASES, _squeezed(b"".join(texts)), _squeezed(extra)
+
+
+def _asked(t: pa.Table, buckets: int, segment: int) -> pa.Table:
+    """Of one part: the dictionary itself, and by bucket the anchors of its strings with numbers of phrases."""
+    part, names, texts = t.column("part")[0].as_py(), t.column("name").to_pylist(), t.column("raw").to_pylist()
+    if len(set(names)) < len(names):
+        return _table([(-1, part, CLASH, b"", b"")])
+    anchors = []
+    for a, b in _chunks([len(x) for x in texts], segment):
+        _, owner, _, anchor, at = Flat(texts[a:b]).anchored()
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
+        anchors.append(_distinct(anchor[new], owner[new])[0])
+    keys, counts = np.unique(np.concatenate(anchors), return_counts=True)
+    rows = [Phrases.row(part, names, texts, t.column("least").to_numpy(), t.column("most").to_numpy())]
+    for k, which in _by_bucket((keys % np.uint64(buckets)).astype(np.int64)):
+        rows.append((k, part, ANCHORS, _pack(keys[which], 5), np.minimum(counts[which], 65535).astype("<u2").tobytes()))
+    return _table(rows)
 
 
-def _asked_phrases(t: pa.Table, buckets: int, segment: int) -> pa.Table:
-    """Of one block: its phrases with their smallest ids (kind 1), by the bucket that looks them up."""
-    least: dict[bytes, int] = {}
-    for k, raw, _ in _ordered(t):  # ids ascend
-        for s in segments(raw, segment):
-            for h in s.phrases():
-                least.setdefault(h, k)
-    if not least:
-        return _table([])
-    names = np.frombuffer(b"".join(least), np.uint8).reshape(-1, 12)
-    ids = np.array(list(least.values()), "<i8")
-    bucket = names[:, :4].copy().view("<u4").ravel() % buckets
-    blk = t.column("blk")[0].as_py()
-    return _table([(k, blk, 1, names[bucket == k].tobytes(), ids[bucket == k].tobytes()) for k in np.unique(bucket).tolist()])
-
-
-class Settled:
-    """Which phrases of a block have their whole content under a smaller id; documents are to come by ascending id."""
-
-    def __init__(self, found: pa.Table):
-        self.least: dict[bytes, int] = {}
-        for r in found.to_pylist():
-            if r["kind"] == 1:
-                for i, k in enumerate(np.frombuffer(r["extra"], "<i8").tolist()):
-                    self.least[r["keys"][12 * i : 12 * i + 12]] = k
-
-    def phrases(self, s: Segment, k: int) -> list[bool]:
-        out = []
-        for h in s.phrases():
-            first = self.least.setdefault(h, k)
-            if first > k:
-                first = self.least[h] = k
-            out.append(first < k)
-        return out
-
-
-def _asked_anchors(t: pa.Table, found: pa.Table, buckets: int, segment: int) -> pa.Table:
-    """Of one block: the anchors of strings in phrases that aren't settled, with numbers of documents (kind 0)."""
-    settled = Settled(found)
-    anchors, owners = [], []
-    for d, (k, raw, _) in enumerate(_ordered(t)):
-        for s in segments(raw, segment):
-            open_ = ~np.repeat(settled.phrases(s, k), np.diff(s.cuts))
-            a = s.anchor[np.flatnonzero(open_ & (np.diff(s.at, prepend=-1) != 0) | np.diff(open_, prepend=False) & open_)]
-            if len(a):
-                a = np.unique(a)
-                anchors.append(a)
-                owners.append(np.full(len(a), d))
-    if not anchors:
-        return _table([])
-    a, o = np.concatenate(anchors), np.concatenate(owners)
-    order = np.lexsort((o, a))
-    a, o = a[order], o[order]
+def _distinct(anchor: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs."""
+    order = np.lexsort((owner, anchor))
+    a, o = anchor[order], owner[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
-    a, counts = np.unique(a[new], return_counts=True)
-    bucket = (a % np.uint64(buckets)).astype(np.int64)
-    blk = t.column("blk")[0].as_py()
-    return _table([(k, blk, 0, _pack(a[bucket == k], 5), np.minimum(counts[bucket == k], 65535).astype("<u2").tobytes()) for k in np.unique(bucket).tolist()])
-
-
-_REQUEST = pa.schema([("bucket", pa.int64()), ("blk", pa.int64()), ("kind", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
-_SQL = "bucket long, blk long, kind long, keys binary, extra binary"
+    return a[new], o[new]
 
 
 def _looked_up(t: pa.Table, hot: int) -> pa.Table:
-    """Of one bucket: the anchors that two documents have (extra: which are hot), and phrases with a smaller id elsewhere (extra: the id)."""
-    rows = t.to_pylist()
-    out = []
-    own = [(r["blk"], _unpack(r["keys"], 5), np.frombuffer(r["extra"], "<u2").astype(np.int64)) for r in rows if r["kind"] == 0]
-    if own:
-        a, c = np.concatenate([x[1] for x in own]), np.concatenate([x[2] for x in own])
-        keys, inverse = np.unique(a, return_inverse=True)
-        total = np.bincount(inverse, c)[inverse]
-        low = 0
-        for blk, mine, _ in own:
-            n = total[low : low + len(mine)]
-            low += len(mine)
-            if (n > 1).any():
-                out.append((0, blk, 0, _pack(mine[n > 1], 5), (n[n > 1] > hot).tobytes()))
-    least: dict[bytes, int] = {}
-    own = [(r["blk"], r["keys"], np.frombuffer(r["extra"], "<i8").tolist()) for r in rows if r["kind"] == 1]
-    for _, keys, ids in own:
-        for i, k in enumerate(ids):
-            h = keys[12 * i : 12 * i + 12]
-            if least.get(h, NO_ID) >= k:
-                least[h] = k
-    for blk, keys, ids in own:
-        got = [(h, least[h]) for i, k in enumerate(ids) if least[h := keys[12 * i : 12 * i + 12]] < k]
-        if got:
-            out.append((0, blk, 1, b"".join(h for h, _ in got), np.array([k for _, k in got], "<i8").tobytes()))
+    """Of one bucket: for each part its anchors that are in two phrases (extra: which are in very many)."""
+    own = [(r["part"], _unpack(r["keys"], 5), np.frombuffer(r["extra"], "<u2")) for r in t.to_pylist()]
+    a, c = np.concatenate([x[1] for x in own]), np.concatenate([x[2] for x in own]).astype(np.int64)
+    inverse = np.unique(a, return_inverse=True)[1]
+    total = np.bincount(inverse, c)[inverse]
+    out, low = [], 0
+    for part, mine, _ in own:
+        n = total[low : low + len(mine)]
+        low += len(mine)
+        if (n > 1).any():
+            out.append((0, part, ANCHORS, _pack(mine[n > 1], 5), (n[n > 1] > hot).tobytes()))
     return _table(out)
 
 
-def _runs(s: Segment, settled: np.ndarray, shared: np.ndarray, hot: np.ndarray, buckets: int):
-    """(start, strings, bucket, part of the bucket) of the fragments of a segment that must be compared."""
-    place = np.searchsorted(shared, s.anchor)
-    place[place == len(shared)] = 0
-    wanted = ~settled & (shared[place] == s.anchor) if len(shared) else np.zeros(s.n, bool)
-    at = np.flatnonzero(wanted)
-    if not len(at):
-        return at, at, at, at
-    alone = hot[place[at]]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (s.at[at[1:]] != s.at[at[:-1]]) | alone[1:] | alone[:-1]
-    first = np.flatnonzero(new)
-    size = np.diff(first, append=len(at))
-    key = np.where(alone[first], s.strings[at[first]], s.anchor[at[first]])
-    return at[first], size, (key % np.uint64(buckets)).astype(np.int64), (key // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
-
-
 def _fragments(t: pa.Table, found: pa.Table, buckets: int, segment: int) -> pa.Table:
-    """Of one block: distinct fragments by bucket (kind 2: extra has ids and numbers of strings), and where they stand (kind 3), and what phrases settle (kind 4)."""
-    docs = _ordered(t)
-    blk = t.column("blk")[0].as_py()
-    shared, hot = [], []
-    for r in found.to_pylist():
-        if r["kind"] == 0:
-            shared.append(_unpack(r["keys"], 5))
-            hot.append(np.frombuffer(r["extra"], bool))
-    phrases = Settled(found)
-    shared, hot = (np.concatenate(shared), np.concatenate(hot)) if shared else (np.zeros(0, np.uint64), np.zeros(0, bool))
+    """Of one part: fragments whose strings may be in other phrases, by bucket (extra: ids, numbers of strings, parts of the bucket), and where they stand."""
+    (row,) = t.to_pylist()
+    phrases, rows = Phrases(row), found.to_pylist()
+    if not rows:
+        return _table([])
+    shared = np.concatenate([_unpack(r["keys"], 5) for r in rows])
+    hot = np.concatenate([np.frombuffer(r["extra"], bool) for r in rows])
     order = np.argsort(shared)
     shared, hot = shared[order], hot[order]
-    pieces: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}  # number in its bucket, smallest id, strings
-    counts: dict[int, int] = {}
-    where, settled_rows = [], []
-    for d, (k, raw, _) in enumerate(docs):
-        for s in segments(raw, segment):
-            c, gone = s.cuts.tolist(), phrases.phrases(s, k)
-            settled_rows += [(d, s.low + c[i], c[i + 1] - c[i]) for i, g in enumerate(gone) if g]
-            for low, n, b, part in zip(*(x.tolist() for x in _runs(s, np.repeat(gone, np.diff(s.cuts)), shared, hot, buckets))):
-                text = s.raw[low : low + n + WIDTH - 1]
-                got = pieces.get((b, part, text))
-                if got is None:  # ids ascend, so this is the smallest
-                    got = pieces[b, part, text] = (counts.get(b, 0), k, n)
-                    counts[b] = got[0] + 1
-                where.append((d, s.low + low, n, b, got[0], got[1] < k))
-    by: dict[int, list] = {}
-    for (b, part, text), (_, k, n) in pieces.items():
-        by.setdefault(b, []).append((text, k, n, part))
-    rows = [(b, blk, 2, b"".join(x[0] for x in v), np.array([x[1:] for x in v], "<i8").tobytes()) for b, v in by.items()]
-    for kind, v in ((3, where), (4, settled_rows)):
-        if v:
-            rows.append((-1, blk, kind, np.array(v, "<u4").tobytes(), None))
-    return _table(rows)
+    sent: dict[int, tuple[list, list]] = {}
+    places = []
+    for a, b in _chunks([len(x) for x in phrases.texts], segment):
+        flat = Flat(phrases.texts[a:b])
+        at, owner, string, anchor, anchor_at = flat.anchored()
+        place = np.searchsorted(shared, anchor)
+        place[place == len(shared)] = 0
+        which = np.flatnonzero(shared[place] == anchor)
+        if not len(which):
+            continue
+        at, owner, string, anchor, anchor_at, alone = at[which], owner[which], string[which], anchor[which], anchor_at[which], hot[place[which]]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (anchor_at[1:] != anchor_at[:-1]) | alone[1:] | alone[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(first, append=len(at))
+        key = np.where(alone[first], string[first], anchor[first])
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        sub = (key // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
+        start, owner = at[first], owner[first]
+        about = np.stack([phrases.least[a + owner], size, sub], 1)
+        for k, mine in _by_bucket(bucket):
+            texts, numbers = sent.setdefault(k, ([], []))
+            texts += [flat.raw[s : s + n + WIDTH - 1] for s, n in zip(start[mine].tolist(), size[mine].tolist())]
+            numbers.append(about[mine])
+            places.append(np.stack([np.full(len(mine), k), a + owner[mine], start[mine] - flat.low[owner[mine]], size[mine]], 1))
+    part = row["part"]
+    out = [(k, part, FRAGMENTS, _squeezed(b"".join(texts)), _squeezed(np.concatenate(numbers).astype("<i8").tobytes())) for k, (texts, numbers) in sent.items()]
+    if places:
+        every = np.concatenate(places)
+        every = every[np.argsort(every[:, 0], kind="stable")]  # as the buckets hold them
+        out.append((-1, part, PLACES, _squeezed(every.astype("<u4").tobytes()), None))
+    return _table(out)
 
 
 def _ranks(value: np.ndarray, last: np.ndarray, bits: int) -> np.ndarray:
@@ -366,120 +415,140 @@ def least_ids(texts: list[bytes], ids: np.ndarray, strings: np.ndarray, width: i
 
 
 def _compared(t: pa.Table) -> pa.Table:
-    """Of one bucket: for each block's fragments, which strings have a smaller id than the fragment's own (kind 5: one 64-bit mask each)."""
+    """Of one bucket: for the fragments of each part, the smallest id of every string, as runs (their number a fragment, strings a run, ids)."""
     rows = t.to_pylist()
     parts: dict[int, dict[bytes, int]] = {}  # the parts of a bucket share no strings
     least, strings, asked = [], [], []
     for r in rows:
-        low = 0
-        for k, n, part in np.frombuffer(r["extra"], "<i8").reshape(-1, 3).tolist():
-            text = r["keys"][low : low + n + WIDTH - 1]
+        low, raw = 0, _whole(r["keys"])
+        which = []
+        for k, n, sub in np.frombuffer(_whole(r["extra"]), "<i8").reshape(-1, 3).tolist():
+            text = raw[low : low + n + WIDTH - 1]
             low += len(text)
-            i = parts.setdefault(part, {}).setdefault(text, len(least))
+            i = parts.setdefault(sub, {}).setdefault(text, len(least))
             if i == len(least):
                 least.append(k)
                 strings.append(n)
-            else:
-                least[i] = min(least[i], k)
-            asked.append((i, k))
-    found: list = [None] * len(least)
+            elif k < least[i]:
+                least[i] = k
+            which.append(i)
+        asked.append(np.array(which))
     ids, counts = np.array(least), np.array(strings)
+    low = np.cumsum(counts) - counts
+    found = np.empty(int(counts.sum()), np.int64)
     some: dict[bytes, int] = {}
+    total = 0
     for last, part in enumerate(parts.values(), 1 - len(parts)):
         some |= part
-        if last == 0 or sum(map(len, some)) >= AT_ONCE:
+        total += sum(map(len, part))
+        if last == 0 or total >= AT_ONCE:
             which = np.array(list(some.values()))
             for i, x in zip(which.tolist(), least_ids(list(some), ids[which], counts[which])):
-                found[i] = x
-            some = {}
-    out, at = [], 0
-    for r in rows:
-        n = len(r["extra"]) // 24
-        masks = [int.from_bytes(np.packbits(found[i] < k, bitorder="little").tobytes(), "little") for i, k in asked[at : at + n]]
-        at += n
-        out.append((r["bucket"], r["blk"], 5, np.array(masks, "<u8").tobytes(), None))
+                found[low[i] : low[i] + len(x)] = x
+            some, total = {}, 0
+    out = []
+    for r, which in zip(rows, asked):
+        n = counts[which]
+        owner = np.repeat(np.arange(len(which)), n)
+        value = found[np.arange(len(owner)) - (np.cumsum(n) - n)[owner] + low[which][owner]]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+        first = np.flatnonzero(new)
+        out.append((r["bucket"], r["part"], LEAST, _squeezed(np.diff(first, append=len(owner)).astype("<u4").tobytes()), _squeezed(value[first].astype("<i8").tobytes())))
     return _table(out)
 
 
-def _marked(sizes: list[int], plan: pa.Table) -> dict[int, np.ndarray]:
-    """Of one block: for each document (by place) that loses bytes, which ones go."""
-    rows = plan.to_pylist()
-    masks = {r["bucket"]: np.frombuffer(r["keys"], "<u8").tolist() for r in rows if r["kind"] == 5}
-    out: dict[int, np.ndarray] = {}
-
-    def cover(d: int, low: int, n: int) -> None:
-        if d not in out:
-            out[d] = np.zeros(sizes[d] + 1, np.int32)
-        out[d][low] += 1
-        out[d][low + n + WIDTH - 1] -= 1
-
-    for r in rows:
-        if r["kind"] == 4:
-            for d, low, n in np.frombuffer(r["keys"], "<u4").reshape(-1, 3).tolist():
-                cover(d, low, n)
-        elif r["kind"] == 3:
-            for d, low, n, b, i, all_of_it in np.frombuffer(r["keys"], "<u4").reshape(-1, 6).tolist():
-                mask = (1 << n) - 1 if all_of_it else masks[b][i]
-                at = 0
-                while mask:
-                    skip = (mask & -mask).bit_length() - 1
-                    mask >>= skip
-                    run = (~mask & (mask + 1)).bit_length() - 1
-                    cover(d, low + at + skip, run)
-                    mask >>= run
-                    at += skip + run
-    return {d: np.cumsum(x[:-1]) > 0 for d, x in out.items()}
-
-
-class Blocks:
-    """The documents as a table bucketed by block, and what goes from each block."""
-
-    def __init__(self, docs: DataFrame, key: str, text: str, rest: list[str], block: int = BLOCK, hot: int = HOT, segment: int = SEGMENT):
-        spark = docs.sparkSession
-        rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"), F.struct(F.col(text).isNull().alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest))).alias("rest"))
-        size = rows.agg(F.sum(F.length("raw"))).first()[0] or 0
-        self.n = max(1, -(-size // block))
-        self.name = f"loam_{uuid.uuid4().hex}"
-        dealt = rows.withColumn("blk", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(self.n)))
-        dealt.repartition(self.n, "blk").write.bucketBy(self.n, "blk").sortBy("blk").option("path", f"{shared_dir(spark)}/{self.name}").option("compression", "zstd").saveAsTable(self.name)
-        self.table = spark.table(self.name)
-        bound_batches(spark)
-        n = self.n
-        texts = self.table.select("blk", "doc_id", "raw")
-        looked_up = lambda asked: stage(asked.groupBy("bucket").applyInArrow(lambda t: _looked_up(t, hot), _SQL), "found")
-        phrases = looked_up(texts.groupBy("blk").applyInArrow(lambda t: _asked_phrases(t, n, segment), _SQL))
-        anchors = texts.groupBy("blk").cogroup(phrases.groupBy("blk")).applyInArrow(lambda t, f: _asked_anchors(t, f, n, segment) if t.num_rows else _REQUEST.empty_table(), _SQL)
-        anchors = looked_up(anchors)
-        self.found = phrases.union(anchors)
-        sent = texts.groupBy("blk").cogroup(self.found.groupBy("blk")).applyInArrow(lambda t, f: _fragments(t, f, n, segment) if t.num_rows else _REQUEST.empty_table(), _SQL)
-        self.sent = stage(sent, "fragments")
-        masks = self.sent.where("kind = 2").groupBy("bucket").applyInArrow(lambda t: _compared(t), _SQL)
-        self.plan = stage(self.sent.where("kind in (3, 4)").union(masks), "plan")
-        drop_staged(phrases)
-        drop_staged(anchors)
-        drop_staged(self.sent)
-
-    def applied(self, columns: list[str], form, schema: str) -> DataFrame:
-        """form(row number, id, bytes, which bytes go or None, table) -> a tuple, for each document."""
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(self.table.sparkSession.createDataFrame([], schema).schema)
-
-        def run(t, plan):
-            if not t.num_rows:
-                return arrow.empty_table()
-            docs = _ordered(t)
-            gone = _marked([len(raw) for _, raw, _ in docs], plan)
-            rows = [form(i, None if k == NO_ID else k, raw, gone.get(d), t) for d, (k, raw, i) in enumerate(docs)]
-            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-
-        return self.table.select("blk", *columns).groupBy("blk").cogroup(self.plan.groupBy("blk")).applyInArrow(lambda t, p: run(t, p), schema)
-
-    def drop(self) -> None:
-        self.table.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
-        self.table._staged_path = f"{shared_dir(self.table.sparkSession)}/{self.name}"
-        drop_staged(self.table)
-        drop_staged(self.plan)
+_ANSWER = pa.schema([("name", pa.binary()), ("runs", pa.list_(pa.int32())), ("least", pa.list_(pa.int64()))])
+
+
+def _answered(t: pa.Table, got: pa.Table) -> pa.Table:
+    """Of one part: for every phrase of which a string may go, the smallest ids of its strings, as runs."""
+    own = {r["kind"]: r for r in t.to_pylist()}
+    if PHRASES not in own:
+        return _ANSWER.empty_table()
+    phrases = Phrases(own[PHRASES])
+    strings = np.array([max(len(x) - WIDTH + 1, 0) for x in phrases.texts])
+    phrases.texts = []
+    places = np.frombuffer(_whole(own[PLACES]["keys"]), "<u4").reshape(-1, 4).astype(np.int64) if PLACES in own else np.zeros((0, 4), np.int64)
+    found = sorted(got.to_pylist(), key=lambda r: r["bucket"])
+    runs = np.concatenate([np.frombuffer(_whole(r["keys"]), "<u4") for r in found] or [np.zeros(0, "<u4")]).astype(np.int64)
+    values = np.concatenate([np.frombuffer(_whole(r["extra"]), "<i8") for r in found] or [np.zeros(0, "<i8")])
+    # a run lies in one fragment: it starts in the fragment that holds its first string
+    ends = np.cumsum(places[:, 3])
+    run_at = np.cumsum(runs) - runs
+    owner = np.searchsorted(ends, run_at, side="right")
+    phrase = places[owner, 1]
+    start = places[owner, 2] + run_at - (ends[owner] - places[owner, 3])
+    order = np.lexsort((start, phrase))
+    phrase, start, runs, values = phrase[order], start[order], runs[order], values[order]
+    out = []
+    for a, b in _chunks(strings.tolist(), 1 << 21):
+        lo, hi = np.searchsorted(phrase, (a, b))
+        base = np.cumsum(strings[a:b]) - strings[a:b]
+        least = np.repeat(phrases.least[a:b], strings[a:b])
+        at = np.repeat(base[phrase[lo:hi] - a] + start[lo:hi] - (np.cumsum(runs[lo:hi]) - runs[lo:hi]), runs[lo:hi]) + np.arange(int(runs[lo:hi].sum()))
+        least[at] = np.repeat(values[lo:hi], runs[lo:hi])
+        owner = np.repeat(np.arange(b - a), strings[a:b])
+        wanted = phrases.several[a:b].copy()
+        wanted[owner[least < phrases.least[a:b][owner]]] = True
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
+        first = np.flatnonzero(new)
+        size, keep = np.diff(first, append=len(owner)), wanted[owner[first]]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[first][keep], minlength=b - a)[wanted])]), pa.int32())
+        names = [phrases.names[16 * i : 16 * i + 16] for i in (a + np.flatnonzero(wanted)).tolist()]
+        out.append(pa.Table.from_arrays([pa.array(names, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(size[keep], pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(least[first][keep], pa.int64()))], schema=_ANSWER))
+    return pa.concat_tables(out) if out else _ANSWER.empty_table()
+
+
+def _row_key(key: str, text: str):
+    """128 bits of a cryptographic hash of id and text: rows of one key have both in common, and so their result."""
+    return F.unhex(F.substring(F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"), F.lit(":").cast("binary"), F.coalesce(F.col(text), F.lit("")).cast("binary")), 256), 1, 32))
+
+
+def with_ranges(docs: DataFrame, key: str, text: str, block: int = BLOCK, hot: int = HOT, segment: int = SEGMENT) -> tuple[DataFrame, list[DataFrame]]:
+    """docs with _cuts, the ranges of strings that go (place, runs, smallest ids), or null; and staged tables to drop after use."""
+    rows = docs.select(_row_key(key, text).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    for seed in range(SEEDS):
+        parse = stage(parsed(rows, seed, segment), "parse")
+        size = parse.where("raw is not null").agg(F.sum(F.col("strings") + (WIDTH - 1))).first()[0] or 0
+        n = max(1, -(-size // block))
+        sent = parse.where("raw is not null").select(F.pmod(F.xxhash64("name"), F.lit(n)).alias("part"), "name", "raw", "id").repartition(n, "part")
+        dictionary = sent.groupBy("part", "name", "raw").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        asked = stage(dictionary.groupBy("part").applyInArrow(lambda t: _asked(t, n, segment), _SQL), "dictionary")
+        if not asked.where(f"kind = {CLASH}").count():
+            break
+        drop_staged(parse)
+        drop_staged(asked)
+    else:
+        raise RuntimeError("phrases of one name with every seed")
+    phrases = asked.where(f"kind = {PHRASES}")
+    found = stage(asked.where(f"kind = {ANCHORS}").groupBy("bucket").applyInArrow(lambda t: _looked_up(t, hot), _SQL), "anchors")
+    sent = stage(phrases.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda t, f: _fragments(t, f, n, segment) if t.num_rows else _ROW.empty_table(), _SQL), "fragments")
+    least = stage(sent.where(f"kind = {FRAGMENTS}").groupBy("bucket").applyInArrow(lambda t: _compared(t), _SQL), "least")
+    own = phrases.union(sent.where(f"kind = {PLACES}"))
+    answers = own.groupBy("part").cogroup(least.groupBy("part")).applyInArrow(lambda t, g: _answered(t, g), "name binary, runs array<int>, least array<bigint>")
+    answers = stage(answers, "answers")
+    for used in (asked, found, sent, least):
+        drop_staged(used)
+    hits = parse.select("name", "row", "id", "start").join(answers, "name").where(F.exists("least", lambda x: x < F.col("id")))
+    ranges = hits.dropDuplicates(["row", "start"]).groupBy("row").agg(F.collect_list(F.struct("start", "runs", "least")).alias("_cuts"))
+    keyed = docs.withColumn("_row", _row_key(key, text))
+    return keyed.join(ranges.withColumnRenamed("row", "_row"), "_row", "left").drop("_row"), [parse, answers]
+
+
+def _gone(k: int | None, size: int, cuts: list[dict]) -> np.ndarray:
+    """Which bytes of a document go."""
+    k = NO_ID if k is None else k
+    edge = np.zeros(size + 1, np.int32)
+    for c in cuts:
+        at = c["start"]
+        for n, least in zip(c["runs"], c["least"]):
+            if least < k:
+                edge[at] += 1
+                edge[at + n + WIDTH - 1] -= 1
+            at += n
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _kept(raw: bytes, gone: np.ndarray | None) -> bytes:
@@ -488,26 +557,42 @@ def _kept(raw: bytes, gone: np.ndarray | None) -> bytes:
 
 def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, hot: int = HOT, segment: int = SEGMENT) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-
-    def form(_, k, raw, gone, __):
-        n, spans = (0, 0) if gone is None else (int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()))
-        return k, len(raw), n, spans, hashlib.sha256(_kept(raw, gone)).hexdigest()
-
-    blocks = Blocks(docs, key, text, [], block, hot, segment)
-    out = stage(blocks.applied(["doc_id", "raw"], form, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "removed")
-    blocks.drop()
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marked, used = with_ranges(rows, "doc_id", "text", block, hot, segment)
+
+    def each(rows):
+        for k, t, cuts in rows:
+            raw, n, spans, gone = (t or "").encode("utf-8", "surrogatepass"), 0, 0, None
+            if cuts:
+                gone = _gone(k, len(raw), cuts)
+                n, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum())
+            yield k, len(raw), n, spans, hashlib.sha256(_kept(raw, gone)).hexdigest()
+
+    out = stage(map_rows(marked, ["doc_id", "text", "_cuts"], each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "removed")
+    for x in used:
+        drop_staged(x)
     return out
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, hot: int = HOT, segment: int = SEGMENT) -> DataFrame:
     """docs without the repeated bytes, with the columns of docs; characters that lose only some of their bytes go whole."""
-    rest = [c for c in docs.columns if c != text]
-    blocks = Blocks(docs, key, text, rest, block, hot, segment)
-
-    def form(i, _, raw, gone, t):
-        own = t.column("rest")[i].as_py()
-        return *(own[f"c{j}"] for j in range(len(rest))), None if own["none"] else _kept(raw, gone).decode("utf-8", "ignore")
-
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    out = blocks.applied(["doc_id", "raw", "rest"], form, ", ".join(f"c{j} {kinds[c]}" for j, c in enumerate(rest)) + f", t {kinds[text]}")
-    return out.toDF(*rest, text).select(*docs.columns)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*own)  # no name can clash
+    k, t = (own[docs.columns.index(c)] for c in (key, text))
+    marked, used = with_ranges(renamed, k, t, block, hot, segment)
+    bound_batches(docs.sparkSession)
+    marked = marked.select(*own, "_cuts")
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for i, raw, cuts in zip(b.column(own.index(k)).to_pylist(), b.column(own.index(t)).to_pylist(), b.column(len(own)).to_pylist()):
+                if cuts:
+                    raw = raw.encode("utf-8", "surrogatepass")
+                    raw = _kept(raw, _gone(i, len(raw), cuts)).decode("utf-8", "ignore")
+                texts.append(raw)
+            at = own.index(t)
+            columns = [pa.array(texts, b.column(at).type) if j == at else b.column(j) for j in range(len(own))]
+            yield pa.RecordBatch.from_arrays(columns, own)
+
+    return leaving(marked.mapInArrow(run, renamed.schema).toDF(*docs.columns), *used)

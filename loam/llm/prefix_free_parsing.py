@@ -39,12 +39,13 @@ from loam.llm.common import bound_batches, drop_staged, leaving, map_rows, stage
 
 WIDTH, GRAM = 50, 24
 #: Bytes of distinct phrases in a part; bytes that are parsed at once; mean bytes of a phrase; phrases of one anchor that go to one place.
-BLOCK, SEGMENT, PHRASE, HOT = 16 << 20, 1 << 19, 256, 1 << 15
-#: Parts of a bucket; bytes of fragments that are sorted together (a part more at most); phrases that a task knows.
-PARTS, AT_ONCE, KNOWN = 1024, 1 << 20, 100_000
+BLOCK, SEGMENT, PHRASE, HOT = 16 << 20, 1 << 19, 128, 1 << 15
+#: Parts of a bucket; bytes of fragments that are sorted together (a part more at most); phrases that a task knows; bytes that it sends at once.
+PARTS, AT_ONCE, KNOWN, SENT = 1024, 1 << 20, 100_000, 32 << 20
 #: Seeds that are tried, should two phrases have one name.
 SEEDS = 8
 NO_ID = (1 << 63) - 1
+_ANCHOR = np.uint64(0xFFFFFFFFFF000000)  # bits of a hash that order anchors; the place decides between equal ones
 
 _rng = np.random.default_rng(5)
 _TABLE = _rng.integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,13 +102,19 @@ class Flat:
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, number of strings) of every phrase, in order."""
         (grams,) = rolling(self.bytes, (GRAM,))
-        at = np.flatnonzero((grams & np.uint64(PHRASE - 1)) == 0)
+        at = np.flatnonzero(grams < np.uint64((1 << 64) // PHRASE))
         owner = np.searchsorted(self.low, at, side="right") - 1
-        place = at - self.low[owner]
-        inside = (place > 0) & (place < self.strings[owner])
+        inside = at - self.low[owner] < self.strings[owner] - 1
+        at, owner = at[inside], owner[inside]
+        # a trigger is the anchor of the string that begins with it, so that no anchor's strings lie in two phrases
+        own = grams[at] & _ANCHOR
+        inside = np.ones(len(at), bool)
+        for j in range(1, WIDTH - GRAM + 1):
+            inside &= grams[at + j] & _ANCHOR >= own
+        at, owner = at[inside] + 1, owner[inside]
         some = np.flatnonzero(self.strings)
-        start = np.concatenate([self.low[some], at[inside]])
-        owner = np.concatenate([some, owner[inside]])
+        start = np.concatenate([self.low[some], at])
+        owner = np.concatenate([some, owner])
         order = np.argsort(start, kind="stable")
         start, owner = start[order], owner[order]
         end = self.low[owner] + self.strings[owner]
@@ -118,12 +125,13 @@ class Flat:
         """(place, text, hash, anchor, anchor's place) of every string."""
         grams, strings = rolling(self.bytes, (GRAM, WIDTH))
         place = np.arange(len(grams), dtype=np.uint64)
-        least = window_min((grams & np.uint64(0xFFFFFFFFFF000000)) | place, WIDTH - GRAM + 1)
+        least = window_min((grams & _ANCHOR) | place, WIDTH - GRAM + 1)
         owner = np.repeat(np.arange(len(self.low)), self.strings)
         first = np.cumsum(self.strings) - self.strings
         at = np.arange(len(owner)) - first[owner] + self.low[owner]
         least = least[at]
-        return at, owner, strings[at], least >> np.uint64(24), (least & np.uint64(0xFFFFFF)).astype(np.int64)
+        anchor_at = (least & ~_ANCHOR).astype(np.int64)
+        return at, owner, strings[at], grams[anchor_at] >> np.uint64(16), anchor_at
 
 
 def _chunks(sizes: list[int], most: int):
@@ -138,75 +146,118 @@ def _chunks(sizes: list[int], most: int):
         yield low, len(sizes)
 
 
-_PARSED = "name binary, row binary, id long, start long, strings long, raw binary"
+def _squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _whole(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def _coded(names: list[bytes], texts: list[bytes], least: np.ndarray, most: np.ndarray) -> tuple[bytes, bytes]:
+    """Phrases as two cells: texts; names, lengths, smallest ids and whether there is a larger one."""
+    extra = b"".join(names) + np.array([len(t) for t in texts], "<u4").tobytes() + least.astype("<i8").tobytes() + (most > least).tobytes()
+    return _squeezed(b"".join(texts)), _squeezed(extra)
 
 
-def parsed(rows: DataFrame, seed: int, segment: int) -> DataFrame:
-    """rows (row, id, raw) -> the phrases of every row; with raw where this task has not sent the phrase for such an id yet."""
+class Phrases:
+    """Names, smallest ids, whether two ids have the phrase, and texts if asked for."""
+
+    def __init__(self, extra: bytes, texts: bytes | None = None):
+        extra = _whole(extra)
+        n = len(extra) // 29
+        self.names, self.lens = extra[: 16 * n], np.frombuffer(extra, "<u4", n, 16 * n).astype(np.int64)
+        self.least = np.frombuffer(extra, "<i8", n, 20 * n)
+        self.several = np.frombuffer(extra, bool, n, 28 * n)
+        if texts is not None:
+            raw, cuts = _whole(texts), [0, *np.cumsum(self.lens).tolist()]
+            self.texts = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def name(self, i: int) -> bytes:
+        return self.names[16 * i : 16 * i + 16]
+
+
+_PARSED = "name binary, row binary, id long, start long, part long, texts binary, about binary"
+
+
+def parsed(rows: DataFrame, seed: int, segment: int, parts: int) -> DataFrame:
+    """rows (row, id, raw) -> the phrases of every row (name, row, id, start), and by part of the dictionary the phrases
+    themselves, each once a task (twice if it has a smaller id, or a second one)."""
     bound_batches(rows.sparkSession)
-    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["name", "row", "id", "start", "strings", "raw"]
+    names = ["name", "row", "id", "start", "part", "texts", "about"]
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
         known: dict[bytes, list] = {}  # phrase: name, smallest id sent, whether two ids were sent
-        out, size = [], 0
-
-        def flushed():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        out: list[tuple] = []
+        sent: dict[int, list[tuple]] = {}
+        size = 0
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        def blobs():
+            made = []
+            for part, held in sent.items():
+                ids = np.array([k for _, _, k in held], np.int64)
+                made.append((None, None, None, None, part, *_coded([h for h, _, _ in held], [t for _, t, _ in held], ids, ids)))
+            sent.clear()
+            if made:
+                yield batch_of(made)
 
         for batch in batches:
             keys, ids, raws = (c.to_pylist() for c in batch.columns)
             pieces = [(i, low, raw[low : low + segment + WIDTH - 1]) for i, raw in enumerate(raws) for low in range(0, len(raw) - WIDTH + 1, segment)]
             for a, b in _chunks([len(x[2]) for x in pieces], segment):
                 flat = Flat([x[2] for x in pieces[a:b]])
-                for j, start, n in zip(*(x.tolist() for x in flat.phrases())):
-                    i, low, _ = pieces[a + j]
+                owner, place, strings = flat.phrases()
+                for j, low, start, n in zip(owner.tolist(), (place - flat.low[owner]).tolist(), place.tolist(), strings.tolist()):
+                    i, base, _ = pieces[a + j]
                     phrase, k = flat.raw[start : start + n + WIDTH - 1], NO_ID if ids[i] is None else ids[i]
-                    got, send = known.get(phrase), None
+                    got = known.get(phrase)
                     if got is None:
                         if len(known) >= KNOWN or n > 1 << 14:
                             known.clear()
-                        got, send = [xxhash.xxh3_128_digest(phrase, seed), k, False], phrase
-                        known[phrase] = got
-                    elif k < got[1] or k != got[1] and not got[2]:
-                        got[1], got[2], send = min(k, got[1]), True, phrase
-                    out.append((got[0], keys[i], k, low + start - int(flat.low[j]), n, send))
-                    size += 120 + (len(phrase) if send else 0)
-                    if size > 4 << 20:
-                        yield flushed()
-                        out, size = [], 0
+                        got = known[phrase] = [xxhash.xxh3_128_digest(phrase, seed), k, False]
+                        send = True
+                    elif send := k < got[1] or k != got[1] and not got[2]:
+                        got[1], got[2] = min(k, got[1]), True
+                    if send:
+                        sent.setdefault(int.from_bytes(got[0][:8], "little") % parts, []).append((got[0], phrase, k))
+                        size += len(phrase)
+                    out.append((got[0], keys[i], k, base + low, None, None, None))
+                    if len(out) >= 20_000:
+                        yield batch_of(out)
+                        out = []
+                if size >= SENT:
+                    yield from blobs()
+                    size = 0
         if out:
-            yield flushed()
+            yield batch_of(out)
+        yield from blobs()
 
     return rows.select("row", "id", "raw").mapInArrow(run, _PARSED)
 
 
-def _squeezed(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
+def _packed(x: np.ndarray) -> bytes:
+    """Ascending numbers, as their differences, byte by byte."""
+    return _squeezed(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
-def _whole(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(_whole(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel())
 
-def _pack(x: np.ndarray, size: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
-
-def _unpack(raw: bytes, size: int) -> np.ndarray:
-    out = np.zeros((len(raw) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
-    return out.view("<u8").ravel()
-
-
-_ROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("kind", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
-_SQL = "bucket long, part long, kind long, keys binary, extra binary"
-#: Kinds of rows: anchors of a part by bucket; a part of the dictionary; fragments by bucket; where they stand; smallest ids; two phrases of one name.
-ANCHORS, PHRASES, FRAGMENTS, PLACES, LEAST, CLASH = range(6)
+_ROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("kind", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary()), ("places", pa.binary())])
+_SQL = "bucket long, part long, kind long, keys binary, extra binary, places binary"
+#: Kinds of rows: anchors of a part by bucket; a part of the dictionary; the same without texts; fragments by bucket (with their
+#: places in the part); smallest ids of their strings; two phrases of one name.
+ANCHORS, PHRASES, NAMES, FRAGMENTS, LEAST, CLASH = range(6)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [[]] * 5, _ROW.types)], schema=_ROW)
+    return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [[]] * 6, _ROW.types)], schema=_ROW)
 
 
 def _by_bucket(bucket: np.ndarray):
@@ -217,29 +268,23 @@ def _by_bucket(bucket: np.ndarray):
         yield int(bucket[order[low]]), order[low:high]
 
 
-class Phrases:
-    """A part of the dictionary: names, texts, smallest ids, and whether two ids have the phrase."""
-
-    def __init__(self, row: dict):
-        raw, extra = _whole(row["keys"]), _whole(row["extra"])
-        n = len(extra) // 29
-        self.names, lens = extra[: 16 * n], np.frombuffer(extra, "<u4", n, 16 * n)
-        self.least = np.frombuffer(extra, "<i8", n, 20 * n)
-        self.several = np.frombuffer(extra, bool, n, 28 * n)
-        cuts = [0, *np.cumsum(lens, dtype=np.int64).tolist()]
-        self.texts = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    @staticmethod
-    def row(part: int, names: list[bytes], texts: list[bytes], least: np.ndarray, most: np.ndarray) -> tuple:
-        extra = b"".join(names) + np.array([len(t) for t in texts], "<u4").tobytes() + least.astype("<i8").tobytes() + (most > least).tobytes()
-        return -1, part, PHRASES, _squeezed(b"".join(texts)), _squeezed(extra)
-
-
 def _asked(t: pa.Table, buckets: int, segment: int) -> pa.Table:
     """Of one part: the dictionary itself, and by bucket the anchors of its strings with numbers of phrases."""
-    part, names, texts = t.column("part")[0].as_py(), t.column("name").to_pylist(), t.column("raw").to_pylist()
+    part = t.column("part")[0].as_py()
+    held: dict[bytes, list] = {}  # phrase: name, smallest id, largest id
+    for texts, about in zip(t.column("texts"), t.column("about")):
+        some = Phrases(about.as_py(), texts.as_py())
+        for i, (text, k) in enumerate(zip(some.texts, some.least.tolist())):
+            got = held.get(text)
+            if got is None:
+                held[text] = [some.name(i), k, k]
+            elif k < got[1]:
+                got[1] = k
+            elif k > got[2]:
+                got[2] = k
+    names, texts = [x[0] for x in held.values()], list(held)
     if len(set(names)) < len(names):
-        return _table([(-1, part, CLASH, b"", b"")])
+        return _table([(-1, part, CLASH, None, None, None)])
     anchors = []
     for a, b in _chunks([len(x) for x in texts], segment):
         _, owner, _, anchor, at = Flat(texts[a:b]).anchored()
@@ -247,9 +292,11 @@ def _asked(t: pa.Table, buckets: int, segment: int) -> pa.Table:
         new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
         anchors.append(_distinct(anchor[new], owner[new])[0])
     keys, counts = np.unique(np.concatenate(anchors), return_counts=True)
-    rows = [Phrases.row(part, names, texts, t.column("least").to_numpy(), t.column("most").to_numpy())]
+    ids = np.array([x[1:] for x in held.values()], np.int64)
+    coded = _coded(names, texts, ids[:, 0], ids[:, 1])
+    rows = [(-1, part, PHRASES, *coded, None), (-1, part, NAMES, None, coded[1], None)]
     for k, which in _by_bucket((keys % np.uint64(buckets)).astype(np.int64)):
-        rows.append((k, part, ANCHORS, _pack(keys[which], 5), np.minimum(counts[which], 65535).astype("<u2").tobytes()))
+        rows.append((k, part, ANCHORS, _packed(keys[which]), _squeezed(np.minimum(counts[which], 65535).astype("<u2").tobytes()), None))
     return _table(rows)
 
 
@@ -264,7 +311,7 @@ def _distinct(anchor: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _looked_up(t: pa.Table, hot: int) -> pa.Table:
     """Of one bucket: for each part its anchors that are in two phrases (extra: which are in very many)."""
-    own = [(r["part"], _unpack(r["keys"], 5), np.frombuffer(r["extra"], "<u2")) for r in t.to_pylist()]
+    own = [(r["part"], _unpacked(r["keys"]), np.frombuffer(_whole(r["extra"]), "<u2")) for r in t.to_pylist()]
     a, c = np.concatenate([x[1] for x in own]), np.concatenate([x[2] for x in own]).astype(np.int64)
     inverse = np.unique(a, return_inverse=True)[1]
     total = np.bincount(inverse, c)[inverse]
@@ -273,22 +320,21 @@ def _looked_up(t: pa.Table, hot: int) -> pa.Table:
         n = total[low : low + len(mine)]
         low += len(mine)
         if (n > 1).any():
-            out.append((0, part, ANCHORS, _pack(mine[n > 1], 5), (n[n > 1] > hot).tobytes()))
+            out.append((0, part, ANCHORS, _packed(mine[n > 1]), _squeezed((n[n > 1] > hot).tobytes()), None))
     return _table(out)
 
 
 def _fragments(t: pa.Table, found: pa.Table, buckets: int, segment: int) -> pa.Table:
     """Of one part: fragments whose strings may be in other phrases, by bucket (extra: ids, numbers of strings, parts of the bucket), and where they stand."""
-    (row,) = t.to_pylist()
-    phrases, rows = Phrases(row), found.to_pylist()
+    (row,), rows = t.to_pylist(), found.to_pylist()
     if not rows:
         return _table([])
-    shared = np.concatenate([_unpack(r["keys"], 5) for r in rows])
-    hot = np.concatenate([np.frombuffer(r["extra"], bool) for r in rows])
+    phrases = Phrases(row["extra"], row["keys"])
+    shared = np.concatenate([_unpacked(r["keys"]) for r in rows])
+    hot = np.concatenate([np.frombuffer(_whole(r["extra"]), bool) for r in rows])
     order = np.argsort(shared)
     shared, hot = shared[order], hot[order]
-    sent: dict[int, tuple[list, list]] = {}
-    places = []
+    sent: dict[int, tuple[list, list, list]] = {}
     for a, b in _chunks([len(x) for x in phrases.texts], segment):
         flat = Flat(phrases.texts[a:b])
         at, owner, string, anchor, anchor_at = flat.anchored()
@@ -308,41 +354,44 @@ def _fragments(t: pa.Table, found: pa.Table, buckets: int, segment: int) -> pa.T
         start, owner = at[first], owner[first]
         about = np.stack([phrases.least[a + owner], size, sub], 1)
         for k, mine in _by_bucket(bucket):
-            texts, numbers = sent.setdefault(k, ([], []))
+            texts, numbers, places = sent.setdefault(k, ([], [], []))
             texts += [flat.raw[s : s + n + WIDTH - 1] for s, n in zip(start[mine].tolist(), size[mine].tolist())]
             numbers.append(about[mine])
-            places.append(np.stack([np.full(len(mine), k), a + owner[mine], start[mine] - flat.low[owner[mine]], size[mine]], 1))
-    part = row["part"]
-    out = [(k, part, FRAGMENTS, _squeezed(b"".join(texts)), _squeezed(np.concatenate(numbers).astype("<i8").tobytes())) for k, (texts, numbers) in sent.items()]
-    if places:
-        every = np.concatenate(places)
-        every = every[np.argsort(every[:, 0], kind="stable")]  # as the buckets hold them
-        out.append((-1, part, PLACES, _squeezed(every.astype("<u4").tobytes()), None))
-    return _table(out)
+            places.append(np.stack([a + owner[mine], start[mine] - flat.low[owner[mine]], size[mine]], 1))
+    packed = lambda x, kind: _squeezed(np.concatenate(x).astype(kind).tobytes())
+    return _table([(k, row["part"], FRAGMENTS, _squeezed(b"".join(texts)), packed(numbers, "<i8"), packed(places, "<u4")) for k, (texts, numbers, places) in sent.items()])
 
 
-def _ranks(value: np.ndarray, last: np.ndarray, bits: int) -> np.ndarray:
-    """Ranks of all suffixes of groups laid end to end; value: under 2**bits - 1; last: the place of the end of each item's group."""
+def _ranks(value: np.ndarray, last: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Ranks of all suffixes of groups laid end to end (by their first depth items); last: the place of the end of each item's group."""
     n = len(value)
-    place = np.arange(n)
-    left = last - place  # items after this one in its group
-    rank, step = value.astype(np.int64) + 1, 1
+    if not n:
+        return np.zeros(0, np.int64)
+    there = np.zeros(int(value.max()) + 1, bool)
+    there[value] = True
+    rank = np.cumsum(there)[value]  # from 1; 0 is the end
+    bits = int(rank.max()).bit_length()
+    left = last - np.arange(n)  # items after this one in its group
+    first, step = rank, 1
     while (step + 1) * bits <= 62:  # as many items as a word holds are compared at once
-        rank <<= bits
-        rank[: n - step] += np.where(left[: n - step] >= step, value[step:] + 1, 0)
+        rank = rank << bits
+        rank[: n - step] += np.where(left[: n - step] >= step, first[step:], 0)
         step += 1
     rank = np.unique(rank, return_inverse=True)[1] + 1
-    longest = int(left.max()) + 1 if n else 0
+    longest = min(int(left.max()) + 1, depth or n)
     while step < longest:
         key = rank * (n + 2)
         key[: n - step] += np.where(left[: n - step] >= step, rank[step:], 0)
+        classes = rank.max()
         rank = np.unique(key, return_inverse=True)[1] + 1
+        if rank.max() == classes:  # nothing more is told apart
+            break
         step *= 2
     return rank
 
 
-def suffix_order(texts: list[bytes], firsts: np.ndarray | None = None, trigger: int = 4, modulus: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes of distinct texts (the first firsts[i] of texts[i], or all), and where each text starts.
+def suffix_order(texts: list[bytes], firsts: np.ndarray | None = None, depth: int | None = None, trigger: int = 4, modulus: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of distinct texts (the first firsts[i] of texts[i], or all; by depth bytes, or all), and where each text starts.
 
     Positions are those of the texts laid end to end. A suffix that ends sorts before one that goes on.
     """
@@ -380,10 +429,10 @@ def suffix_order(texts: list[bytes], firsts: np.ndarray | None = None, trigger:
     plen = np.array([len(p) // 2 for p in dictionary])
     pstart = np.cumsum(plen) - plen
     letters = np.frombuffer(b"".join(dictionary), ">u2").astype(np.int64)
-    inner = _ranks(letters, np.repeat(pstart + plen - 1, plen), 9)
+    inner = _ranks(letters, np.repeat(pstart + plen - 1, plen), depth and depth + trigger)
     # suffixes of the parse, text by text
     ends = np.flatnonzero(~follows)
-    outer = _ranks(parse, ends[np.searchsorted(ends, np.arange(len(parse)))], max(1, int(len(parse) + 1).bit_length()))
+    outer = _ranks(parse, ends[np.searchsorted(ends, np.arange(len(parse)))], depth)
     after = np.where(follows, np.append(outer[1:], 0), 0)
     chosen = np.arange(len(at))
     if firsts is not None:
@@ -396,7 +445,7 @@ def suffix_order(texts: list[bytes], firsts: np.ndarray | None = None, trigger:
 
 def least_ids(texts: list[bytes], ids: np.ndarray, strings: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """For each of the first strings[i] strings of `width` bytes in texts[i]: the smallest id of a text that has it."""
-    order, starts = suffix_order(texts, strings)
+    order, starts = suffix_order(texts, strings, width)
     whole = np.frombuffer(b"".join(texts) + b"\0" * width, np.uint8)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     same = np.zeros(len(order), bool)
@@ -454,7 +503,7 @@ def _compared(t: pa.Table) -> pa.Table:
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
         first = np.flatnonzero(new)
-        out.append((r["bucket"], r["part"], LEAST, _squeezed(np.diff(first, append=len(owner)).astype("<u4").tobytes()), _squeezed(value[first].astype("<i8").tobytes())))
+        out.append((r["bucket"], r["part"], LEAST, _squeezed(np.diff(first, append=len(owner)).astype("<u4").tobytes()), _squeezed(value[first].astype("<i8").tobytes()), r["places"]))
     return _table(out)
 
 
@@ -463,22 +512,18 @@ _ANSWER = pa.schema([("name", pa.binary()), ("runs", pa.list_(pa.int32())), ("le
 
 def _answered(t: pa.Table, got: pa.Table) -> pa.Table:
     """Of one part: for every phrase of which a string may go, the smallest ids of its strings, as runs."""
-    own = {r["kind"]: r for r in t.to_pylist()}
-    if PHRASES not in own:
-        return _ANSWER.empty_table()
-    phrases = Phrases(own[PHRASES])
-    strings = np.array([max(len(x) - WIDTH + 1, 0) for x in phrases.texts])
-    phrases.texts = []
-    places = np.frombuffer(_whole(own[PLACES]["keys"]), "<u4").reshape(-1, 4).astype(np.int64) if PLACES in own else np.zeros((0, 4), np.int64)
-    found = sorted(got.to_pylist(), key=lambda r: r["bucket"])
-    runs = np.concatenate([np.frombuffer(_whole(r["keys"]), "<u4") for r in found] or [np.zeros(0, "<u4")]).astype(np.int64)
-    values = np.concatenate([np.frombuffer(_whole(r["extra"]), "<i8") for r in found] or [np.zeros(0, "<i8")])
+    (own,) = t.to_pylist()
+    phrases = Phrases(own["extra"])
+    strings = np.maximum(phrases.lens - WIDTH + 1, 0)
+    found = got.to_pylist()
+    joined = lambda column, kind: np.concatenate([np.frombuffer(_whole(r[column]), kind) for r in found] or [np.zeros(0, kind)]).astype(np.int64)
+    runs, values, places = joined("keys", "<u4"), joined("extra", "<i8"), joined("places", "<u4").reshape(-1, 3)
     # a run lies in one fragment: it starts in the fragment that holds its first string
-    ends = np.cumsum(places[:, 3])
+    ends = np.cumsum(places[:, 2])
     run_at = np.cumsum(runs) - runs
     owner = np.searchsorted(ends, run_at, side="right")
-    phrase = places[owner, 1]
-    start = places[owner, 2] + run_at - (ends[owner] - places[owner, 3])
+    phrase = places[owner, 0]
+    start = places[owner, 1] + run_at - (ends[owner] - places[owner, 2])
     order = np.lexsort((start, phrase))
     phrase, start, runs, values = phrase[order], start[order], runs[order], values[order]
     out = []
@@ -496,7 +541,7 @@ def _answered(t: pa.Table, got: pa.Table) -> pa.Table:
         first = np.flatnonzero(new)
         size, keep = np.diff(first, append=len(owner)), wanted[owner[first]]
         offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[first][keep], minlength=b - a)[wanted])]), pa.int32())
-        names = [phrases.names[16 * i : 16 * i + 16] for i in (a + np.flatnonzero(wanted)).tolist()]
+        names = [phrases.name(i) for i in (a + np.flatnonzero(wanted)).tolist()]
         out.append(pa.Table.from_arrays([pa.array(names, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(size[keep], pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(least[first][keep], pa.int64()))], schema=_ANSWER))
     return pa.concat_tables(out) if out else _ANSWER.empty_table()
 
@@ -509,29 +554,24 @@ def _row_key(key: str, text: str):
 def with_ranges(docs: DataFrame, key: str, text: str, block: int = BLOCK, hot: int = HOT, segment: int = SEGMENT) -> tuple[DataFrame, list[DataFrame]]:
     """docs with _cuts, the ranges of strings that go (place, runs, smallest ids), or null; and staged tables to drop after use."""
     rows = docs.select(_row_key(key, text).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // block))
     for seed in range(SEEDS):
-        parse = stage(parsed(rows, seed, segment), "parse")
-        size = parse.where("raw is not null").agg(F.sum(F.col("strings") + (WIDTH - 1))).first()[0] or 0
-        n = max(1, -(-size // block))
-        sent = parse.where("raw is not null").select(F.pmod(F.xxhash64("name"), F.lit(n)).alias("part"), "name", "raw", "id").repartition(n, "part")
-        dictionary = sent.groupBy("part", "name", "raw").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-        asked = stage(dictionary.groupBy("part").applyInArrow(lambda t: _asked(t, n, segment), _SQL), "dictionary")
+        parse = stage(parsed(rows, seed, segment, n), "parse")
+        asked = stage(parse.where("part is not null").select("part", "texts", "about").groupBy("part").applyInArrow(lambda t: _asked(t, n, segment), _SQL), "dictionary")
         if not asked.where(f"kind = {CLASH}").count():
             break
         drop_staged(parse)
         drop_staged(asked)
     else:
         raise RuntimeError("phrases of one name with every seed")
-    phrases = asked.where(f"kind = {PHRASES}")
-    found = stage(asked.where(f"kind = {ANCHORS}").groupBy("bucket").applyInArrow(lambda t: _looked_up(t, hot), _SQL), "anchors")
-    sent = stage(phrases.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda t, f: _fragments(t, f, n, segment) if t.num_rows else _ROW.empty_table(), _SQL), "fragments")
-    least = stage(sent.where(f"kind = {FRAGMENTS}").groupBy("bucket").applyInArrow(lambda t: _compared(t), _SQL), "least")
-    own = phrases.union(sent.where(f"kind = {PLACES}"))
-    answers = own.groupBy("part").cogroup(least.groupBy("part")).applyInArrow(lambda t, g: _answered(t, g), "name binary, runs array<int>, least array<bigint>")
+    of = lambda kind: asked.where(f"kind = {kind}")
+    found = of(ANCHORS).groupBy("bucket").applyInArrow(lambda t: _looked_up(t, hot), _SQL)
+    sent = of(PHRASES).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda t, f: _fragments(t, f, n, segment) if t.num_rows else _ROW.empty_table(), _SQL)
+    least = sent.groupBy("bucket").applyInArrow(lambda t: _compared(t), _SQL)
+    answers = of(NAMES).groupBy("part").cogroup(least.groupBy("part")).applyInArrow(lambda t, g: _answered(t, g) if t.num_rows else _ANSWER.empty_table(), "name binary, runs array<int>, least array<bigint>")
     answers = stage(answers, "answers")
-    for used in (asked, found, sent, least):
-        drop_staged(used)
-    hits = parse.select("name", "row", "id", "start").join(answers, "name").where(F.exists("least", lambda x: x < F.col("id")))
+    drop_staged(asked)
+    hits = parse.where("name is not null").select("name", "row", "id", "start").join(answers, "name").where(F.exists("least", lambda x: x < F.col("id")))
     ranges = hits.dropDuplicates(["row", "start"]).groupBy("row").agg(F.collect_list(F.struct("start", "runs", "least")).alias("_cuts"))
     keyed = docs.withColumn("_row", _row_key(key, text))
     return keyed.join(ranges.withColumnRenamed("row", "_row"), "_row", "left").drop("_row"), [parse, answers]

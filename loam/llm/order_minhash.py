@@ -4,8 +4,9 @@ The k-mers of a text (runs of K characters) are numbered by occurrence, so that
 picks the PICKS smallest numbered k-mers; their texts, in the order in which they stand in the document, are hashed to
 one 16-bit part. Likeness is the share of equal parts: it falls with edits and with changes of order.
 
-To compare each document with the next one, texts are dealt once into sorted ranges of ids, which are streamed; the
-first and last documents of the ranges are paired afterwards. Defined results: a null text counts as empty; a text shorter than K is a
+To compare each document with the next one, texts are dealt once into sorted ranges of ids (and, within one id, of the
+fronts of texts), which are streamed; the first and last documents of the ranges are paired afterwards, by the ranges'
+numbers. Defined results: a null text counts as empty; a text shorter than K is a
 single k-mer; equal ids stand in the order of their texts and null ids come last; with a single row, the next document
 is that row itself; an empty table gives an empty table; only id and text are read, so that clashing extra columns don't
 matter. Texts are read whole, in blocks.
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from loam.llm.common import map_rows, stage
 
 K, PICKS, SKETCHES = 6, 2, 48
+#: Characters of a text's front that cut rows of one id.
+FRONT = 32
 _M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)  # Fixed values: constants of a public 32-bit mixer
 _BLOCK = 1 << 15
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 31, SKETCHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -119,8 +122,10 @@ def compared_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     kind = dict(docs.dtypes)[key]
     columns = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # ranges are cut by ids alone: the sample that finds the cuts holds no texts
-    dealt = rows.repartitionByRange(F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
+    # ranges are cut by ids and the front of texts, so that the sample that finds the cuts holds no whole texts and the
+    # rows of one id (or of none) are cut as well
+    front = F.substring("text", 1, FRONT)
+    dealt = rows.repartitionByRange(F.desc_nulls_last("doc_id"), front).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
 
     def each(rows):
         part, first, last = TaskContext.get().partitionId(), None, None
@@ -137,12 +142,14 @@ def compared_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
             yield last[0], *(None,) * 6, part, False, last[1]
 
     found = stage(map_rows(dealt, ["doc_id", "text"], each, f"{columns}, part int, is_first boolean, edge string", 500), "compared")
-    # two rows a partition: the last document of each goes with the first of the next that has any
+    # the last document of each range goes with the first of the next that has any; the numbers of the ranges are paired
+    # first (a number a range in one task), then the two texts of each pair are joined by number
     edges = found.where("part is not null")
-    top = edges.where("is_first").orderBy("part").limit(1).select("edge").withColumnRenamed("edge", "top")
-    following = F.lead("edge").over(Window.orderBy("part", F.desc("is_first")))
-    pairs = edges.select("doc_id", "edge", "is_first", following.alias("following")).where("not is_first")
-    pairs = pairs.crossJoin(F.broadcast(top)).select("doc_id", "edge", F.coalesce("following", "top").alias("following"))
+    numbers = edges.where("is_first").select("part")
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbers = numbers.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(every)).alias("next"))
+    firsts = edges.where("is_first").select(F.col("part").alias("next"), F.col("edge").alias("following"))
+    pairs = edges.where("not is_first").select("doc_id", "edge", "part").join(numbers, "part").join(firsts, "next").select("doc_id", "edge", "following")
 
     def finish(rows):
         for k, t, f in rows:

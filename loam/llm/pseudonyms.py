@@ -2,8 +2,8 @@
 
 Card numbers (Luhn), social security numbers, phone numbers, IPv4 addresses and dates are found and validated; each
 valid value is permuted among the values of its format, so that equal values get equal pseudonyms in every document and
-different values different ones. Separators and spelling stay. The name in an e-mail address, which has no such format,
-becomes a keyed digest; its domain stays.
+different values different ones; a date has one pseudonym in all its forms. Separators and spelling stay. The name in an
+e-mail address, which has no such format, becomes a keyed digest; its domain stays. The secret has to be given.
 
 Defined results: a null text stays null with counts of 0; values that fail validation stay as they are; ids may be null
 or repeated; an empty table gives an empty table; only id and text are read, so that clashing extra columns don't
@@ -12,9 +12,12 @@ matter. Texts are read whole, in linear time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import os
+import secrets
 
-KEY, ROUNDS = "loam", 8
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+ROUNDS = 8
 
 # The forms in which the data are written.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
@@ -37,7 +40,8 @@ CARD = (
 )
 KINDS = ("email", "phone", "ssn", "date", "ip", "card")
 _ANY = EMAIL + "|(?=[0-9+(])(?:" + "|".join((PHONE, SSN, DATE, IP, CARD)) + ")"  # one look ahead settles most places
-_DAYS, _DAY_ROWS, _DAY_COLUMNS = "1800-01-01", 627, 233  # 400 years of days, as a rectangle
+# 400 years of days: 4,800 months of 12 days, and 88,497 later days, as rectangles.
+_FIRST_DAY, _YEARS, _EARLY, _LATE = "1800-01-01", 400, (240, 240), (9, 9833)
 
 
 def _prf(key: str, kind: str, i: Column, value: Column) -> Column:
@@ -45,7 +49,7 @@ def _prf(key: str, kind: str, i: Column, value: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), i.cast("string"), value.cast("string")), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, rows: Column, columns: Column, kind: str, key: str = KEY) -> Column:
+def feistel(left: Column, right: Column, rows: Column, columns: Column, kind: str, key: str) -> Column:
     """A struct (l, r): the keyed permutation of the pairs with 0 <= l < rows, 0 <= r < columns."""
 
     def turn(acc: Column, i: Column) -> Column:
@@ -70,7 +74,7 @@ def _padded(x: Column, n: Column) -> Column:
     return F.substring(F.concat(F.lit("0" * 19), x.cast("string")), -19, 19).substr(F.lit(20) - n, n)
 
 
-def permuted_digits(digits: Column, kind: str, key: str = KEY) -> Column:
+def permuted_digits(digits: Column, kind: str, key: str) -> Column:
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
     out = feistel(digits.substr(F.lit(1), half), digits.substr(half + 1, n - half), _power(half), _power(n - half), kind, key)
@@ -139,7 +143,7 @@ def _run(x: Column, key: str) -> Column:
 
     def made(token: Column) -> Column:
         plain = F.regexp_replace(token, "[a-dp]", "")
-        kind = F.when(token.startswith("p"), "phone").when(~token.startswith("d"), "card")
+        kind = F.when(token.startswith("p"), F.when(_phone(plain, key)[0], "phone")).when(~token.startswith("d"), "card")
         return F.struct(kind.alias("kind"), F.when(kind == "phone", _phone(plain, key)[1]).when(kind == "card", _card(plain, key)).otherwise(plain).alias("text"))
 
     parts = F.transform(F.array(F.transform(tokens, made)), lambda t: F.struct(F.filter(t["kind"], lambda k: k.isNotNull()).alias("kinds"), F.array_join(t["text"], " ").alias("text")))[0]
@@ -158,7 +162,9 @@ def _phone(x: Column, key: str) -> tuple[Column, Column]:
     d = _digits(x)
     n = F.length(d)
     kept = F.when(n > 10, n - 10).when(x.startswith("+"), 2).otherwise(0)  # the country's digits
-    return F.lit(True), relaid(x, F.concat(d.substr(F.lit(1), kept), permuted_digits(d.substr(kept + 1, n - kept), "phone", key)))
+    # 8 to 15 digits, a country that doesn't begin with 0, a number that isn't one digit repeated
+    ok = n.between(8, 15) & ~x.rlike(r"^\+0") & ~d.substr(kept + 1, n - kept).rlike(r"^(\d)\1*$")
+    return ok, relaid(x, F.concat(d.substr(F.lit(1), kept), permuted_digits(d.substr(kept + 1, n - kept), "phone", key)))
 
 
 def _ip(x: Column, key: str) -> tuple[Column, Column]:
@@ -169,18 +175,42 @@ def _ip(x: Column, key: str) -> tuple[Column, Column]:
     return F.forall(o, lambda p: p < 256), text
 
 
+def _early_day(n: Column, base: Column) -> Column:
+    return F.date_add(F.add_months(base, F.floor(n / 12).cast("int")), (n % 12).cast("int"))
+
+
+def _late_day(n: Column, base: Column) -> Column:
+    """The n-th of the days after the 12th of their months: first the last month with no more than n before it."""
+    before = lambda m: F.datediff(F.add_months(base, m), base) - 12 * m
+    near = F.floor(n * (_YEARS * 12) / (_LATE[0] * _LATE[1])).cast("int")  # the months' sizes differ by less than one month in sum
+    month = F.element_at(F.filter(F.sequence(near - 2, near + 2), lambda m: before(m) <= n), -1)
+    return F.transform(F.array(month), lambda m: F.date_add(F.add_months(base, m), (12 + n - before(m)).cast("int")))[0]
+
+
 def _date(x: Column, key: str) -> tuple[Column, Column]:
+    """Days up to the 12th and later ones are permuted apart, so that a text that can only be month first stays one: no
+    pseudonym of such a text is also that of a text with the day first, and a day has one pseudonym in every form."""
     day_first = x.substr(4, 2).cast("int") <= 12
     forms = [(x.contains("-"), "yyyy-MM-dd"), (x.contains(".") & day_first, "dd.MM.yyyy"), (x.contains("."), "MM.dd.yyyy"), (x.rlike("^[0-9]{4}/"), "yyyy/MM/dd"), (day_first, "dd/MM/yyyy"), (F.lit(True), "MM/dd/yyyy")]
 
     def by_form(made):
         return F.coalesce(*(F.when(is_, made(form)) for is_, form in forms))
 
-    day = F.try_to_timestamp(x, by_form(F.lit)).cast("date")
-    at = F.datediff(day, F.lit(_DAYS).cast("date"))
-    ok = day.isNotNull() & (at >= 0) & (at < _DAY_ROWS * _DAY_COLUMNS)
-    out = feistel(F.floor(at / _DAY_COLUMNS), at % _DAY_COLUMNS, F.lit(_DAY_ROWS), F.lit(_DAY_COLUMNS), "date", key)
-    new = F.date_add(F.lit(_DAYS).cast("date"), (out["l"] * _DAY_COLUMNS + out["r"]).cast("int"))
+    base = F.lit(_FIRST_DAY).cast("date")
+    found = F.try_to_timestamp(x, by_form(F.lit)).cast("date")
+
+    def made(day: Column) -> Column:
+        month = (F.year(day) - F.year(base)) * 12 + F.month(day) - 1
+        # early days are numbered by month and day, late ones by how many late days come before
+        early, late = month * 12 + F.day(day) - 1, F.datediff(day, base) - 12 * (month + 1)
+        first = F.day(day) <= 12
+        new_early = feistel(F.floor(early / _EARLY[1]), early % _EARLY[1], F.lit(_EARLY[0]), F.lit(_EARLY[1]), "early", key)
+        new_late = feistel(F.floor(late / _LATE[1]), late % _LATE[1], F.lit(_LATE[0]), F.lit(_LATE[1]), "late", key)
+        number = F.when(first, new_early["l"] * _EARLY[1] + new_early["r"]).otherwise(new_late["l"] * _LATE[1] + new_late["r"])
+        return F.transform(F.array(number), lambda n: F.when(first, _early_day(n, base)).otherwise(_late_day(n, base)))[0]
+
+    ok = found.isNotNull() & (F.year(found) >= F.year(base)) & (F.year(found) < F.year(base) + _YEARS)
+    new = F.transform(F.array(found), made)[0]
     return ok, F.transform(F.array(new), lambda d: by_form(lambda form: F.date_format(d, form)))[0]
 
 
@@ -201,8 +231,23 @@ def _pseudonym(x: Column, key: str) -> Column:
     return out.otherwise(_run(x, key))
 
 
-def pseudonymised(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
-    """One row a document: doc_id, text with pseudonyms, and n_<kind> values replaced, of each kind."""
+def configured_secret(spark: SparkSession) -> str:
+    """The session's spark.loam.secret, or the environment's LOAM_SECRET; without either, one that is drawn for this
+    session and kept in it, so that pseudonyms can't be inverted by whoever reads this file."""
+    found = spark.conf.get("spark.loam.secret", None) or os.environ.get("LOAM_SECRET")
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set("spark.loam.secret", found)
+    return found
+
+
+def pseudonymised(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: doc_id, text with pseudonyms, and n_<kind> values replaced, of each kind.
+
+    Equal secrets give equal pseudonyms; whoever has the secret can invert them. An empty secret is an error.
+    """
+    if not secret:
+        raise ValueError("pseudonyms need a secret")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     parts = rows.select("doc_id", "text", F.split("text", _ANY, -1).alias("gaps"), F.transform(F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)), lambda x: _pseudonym(x, secret)).alias("found"))
     joined = F.array_join(F.zip_with("gaps", "found", lambda g, f: F.concat(g, F.coalesce(f["text"], F.lit("")))), "")

@@ -49,7 +49,7 @@ def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), pseudonyms.configured_secret(spark))
 
 
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +99,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR NOT (2 * n_words <= word_chars AND word_chars <= 25 * n_words)) AS kept
 FROM stats""",
     "op9_perspectives": r"""
-WITH t AS (SELECT conv_id, turn::BIGINT AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn::BIGINT AS turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+                  translate(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10) || chr(13), '  ') AS name FROM conversations),
 p AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM t WHERE role <> 'system'),
 b AS (SELECT conv_id, perspective, turn, role, text, role = perspective AS mine,
              '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
-                                    ELSE 'user name=' || role END || chr(10) AS head
+                                    ELSE 'user name=' || name END || chr(10) AS head
       FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c),
 s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM b),
 o AS (SELECT *, (sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text

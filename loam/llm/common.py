@@ -25,10 +25,12 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in local tests, a temporary folder is set as its checkpoint folder.
+    Where the session names none: in local mode, as in tests, a temporary folder is set; on a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loam-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from loam.llm.common import drop_staged, stage
+from loam.llm.common import drop_staged, leaving, stage
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -33,4 +33,4 @@ def component_labels(edges: DataFrame) -> DataFrame:
         now, before, mark = new, mark, _mark(new)
         if mark == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return leaving(now.select(F.col("u").alias("node"), F.col("v").alias("label")), now)

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.llm import nnls_packing, prefix_free_parsing, quality_cascade, secret_index, simhash_trie
-from loam.llm.common import stage, table
+from loam.llm.common import drop_staged, leaving, stage, table
 from loam.llm.queries import tokenizer_file
 
 
+#: Near copies: words of a shingle, and the share of shingles that two texts must have in common.
+WIDTH, LIKENESS = 5, 0.8
+
+
 def _recounted(docs: DataFrame) -> DataFrame:
     """n_chars, where there is one, follows a changed text."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+    if "n_chars" not in docs.columns:
+        return docs
+    return leaving(docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), *getattr(docs, "_left", ()))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_trie.representatives(docs)
+    return simhash_trie.representatives(docs, width=WIDTH, likeness=LIKENESS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nnls_packing.packed_pieces(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return nnls_packing.packed_pieces(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), with_ids=True)
 
 
 STAGES = [
@@ -47,9 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and reread; a stage's input is removed once its output is written.
+
+    What the last stage reads stays until common.drop_left() of the result, which holds for a null text (empty, rejected by the
+    quality rules), null and repeated ids (rows on their own) and an empty table (no rows) as each stage states.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stage(docs, name)
-    return docs
+            if before is not None:
+                drop_staged(before)
+            before = docs
+    return leaving(docs, before)

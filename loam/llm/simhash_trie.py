@@ -208,7 +208,7 @@ def _digest(text: str) -> Column:
 class Sketcher:
     """Minima of the hashes of a text's distinct shingles, under SKETCH orders."""
 
-    MOST = 500_000  # words whose hashes are remembered
+    MOST = 100_000  # words whose hashes are remembered
 
     def __init__(self, width: int):
         self.width, self.words = width, {}

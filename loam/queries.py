@@ -374,10 +374,16 @@ def internal_keys(spark, d):
     return log(spark, d).select("user_key", "seq", F.hex(codecs.internal_key_column(F.col("user_key"), F.col("seq"), F.col("vtype"))).alias("internal"))
 
 
-@query(None)
+_VARINT = "list_reduce(list_transform(range(0, (length(bin(seq)) + 6) // 7), lambda i: lpad(hex(((seq >> (7 * i)::INT) & 127) + CASE WHEN (seq >> (7 * (i + 1))::INT) > 0 THEN 128 ELSE 0 END), 2, '0')), lambda a, b: a || b)"
+# a step a bit: list_reduce over the bytes of the key, each taken through eight shifts
+_CRC_BITS = "list_reduce(list_prepend(c, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 2197175160) ELSE x >> 1 END)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(user_key, ''), lambda s: ascii(s)::BIGINT)), lambda x, b: list_transform([xor(x, b)], lambda c: {_CRC_BITS})[1]), 4294967295)"
+
+
+@query(f"WITH {_LOG} SELECT user_key, seq, {_VARINT} AS varint, seq AS back, {_CRC} AS crc32c FROM L")
 def codec_columns(spark, d):
-    rows = log(spark, d).select("user_key", "seq")
-    return rows.select("user_key", "seq", F.hex(codecs.varint_column(F.col("seq"))).alias("varint"), codecs.crc32c_column(F.col("user_key").cast("binary")).alias("crc32c"))
+    rows = log(spark, d).select("user_key", "seq", codecs.varint_column(F.col("seq")).alias("v"))
+    return rows.select("user_key", "seq", F.hex("v").alias("varint"), codecs.varint_value(F.col("v")).alias("back"), codecs.crc32c_column(F.col("user_key").cast("binary")).alias("crc32c"))
 
 
 QUERIES = {k: f for k, (f, _) in _ENTRIES.items()}

@@ -216,8 +216,10 @@ def test_streaming_view(spark, tmp_path):
     for rows in ([("a", 1, 1, 1), ("b", 2, 1, 2)], [("a", 4, 0, None), ("b", 3, 1, 3)], [("b", 2, 1, 2), ("c", 5, 1, 5)]):
         df = spark.createDataFrame(rows, schema)
         df.coalesce(1).write.mode("append").parquet(path)
-    out = live_view.run_available(live_view.log_stream(spark, path, df.schema, 1), "live", str(tmp_path / "checkpoint"))
-    assert sorted(tuple(r) for r in out.collect()) == [("b", 3, 3), ("c", 5, 5)]
+    run = lambda: live_view.run_available(live_view.log_stream(spark, path, df.schema, 1), str(tmp_path / "view"), str(tmp_path / "checkpoint"))
+    assert sorted(tuple(r) for r in run().collect()) == [("b", 3, 3), ("c", 5, 5)]
+    spark.createDataFrame([("c", 6, 0, None), ("d", 7, 1, 7)], schema).coalesce(1).write.mode("append").parquet(path)
+    assert sorted(tuple(r) for r in run().collect()) == [("b", 3, 3), ("d", 7, 7)]  # what came since the last run
 
 
 KILLED = """

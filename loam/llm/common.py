@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -65,6 +66,54 @@ def drop_staged(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What a Python worker keeps between tasks, and the operator it belongs to: workers outlive stages, models must not.
+_kept: dict = {}
+_ran = [""]
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def kept(name, make: Callable):
+    """make(), or what it made before in this worker; gone once the worker turns to another operator."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def turn_to(operator: str) -> None:
+    if _ran[0] != operator:
+        _kept.clear()
+        _ran[0] = operator
+        pa.set_memory_pool(pa.system_memory_pool())  # the others hold on to freed memory
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine: idle workers are counted with their executor."""
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable, operator: str) -> Callable:
+    """A function for mapInArrow whose worker keeps nothing of other operators and gives freed memory back."""
+
+    def out(batches):
+        turn_to(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
+def leanly(operator: str, f: Callable, *args):
+    """The same for one group of applyInArrow."""
+    turn_to(operator)
+    try:
+        return f(*args)
+    finally:
+        give_back()
+
+
 def map_rows(df: DataFrame, columns: list[str], each: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, size: int = BATCH_ROWS) -> DataFrame:
     """Apply a generator over the partition's rows (tuples of columns) and gather what it yields under schema."""
     bound_batches(df.sparkSession)
@@ -87,7 +136,7 @@ def map_rows(df: DataFrame, columns: list[str], each: Callable[[Iterator[tuple]]
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*kept), arrow)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(lean(run, each.__module__), schema)
 
 
 def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list]) -> DataFrame:
@@ -99,4 +148,4 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list]) -> Dat
         for b in batches:
             yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run, keep.__module__), df.schema)

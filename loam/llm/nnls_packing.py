@@ -24,7 +24,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from loam.llm.common import map_rows
+from loam.llm.common import kept, map_rows
 
 WINDOW, GROUP_DOCS, END_ID = 1024, 32768, 0
 
@@ -36,7 +36,7 @@ _LATIN = re.compile(r" ?[\x21-\x7eÀ-ɏ]+")
 class WordCache(dict):
     """Token ids (little-endian 32-bit) of a word, with or without the space before it."""
 
-    MOST, LONGEST = 500_000, 64  # words that are remembered, and their characters: texts without spaces must not pile up
+    MOST, LONGEST = 100_000, 64  # words that are remembered, and their characters: texts without spaces must not pile up
 
     def __init__(self, encode, before: str):
         super().__init__()
@@ -87,13 +87,8 @@ class ByteTokens:
         return self.line_end.join(lines)
 
 
-_tokens: dict[tuple, ByteTokens] = {}
-
-
 def tokens(path: str, ranks_path: str | None) -> ByteTokens:
-    if (path, ranks_path) not in _tokens:
-        _tokens[path, ranks_path] = ByteTokens(path, ranks_path)
-    return _tokens[path, ranks_path]
+    return kept((path, ranks_path), lambda: ByteTokens(path, ranks_path))
 
 
 def combinations(window: int) -> np.ndarray:
@@ -190,7 +185,7 @@ def packed_pieces(docs: DataFrame, path: str, ranks_path: str | None = None, key
 
         def piece(k, start, raw, total, seq, offset):
             row = (k, start, len(raw) // 4, zlib.crc32(raw), total, seq, offset)
-            return (*row, np.frombuffer(raw, "<u4").tolist()) if with_ids else row
+            return (*row, np.frombuffer(raw, "<u4").astype(np.int64)) if with_ids else row
 
         def flush():
             nonlocal count

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
-from loam.llm.common import bound_batches, drop_staged, leaving, map_rows, stage
+from loam.llm.common import bound_batches, drop_staged, lean, leaving, leanly, map_rows, stage
 
 WIDTH, GRAM = 50, 24
 #: Bytes of distinct phrases in a part; bytes that are parsed at once; mean bytes of a phrase; phrases of one anchor that go to one place.
@@ -245,7 +245,7 @@ def parsed(rows: DataFrame, seed: int, segment: int, parts: int | None = None) -
                 size = 0
         yield from blobs()
 
-    return rows.select("row", "id", "raw").mapInArrow(sent if parts else named, _SENT if parts else _NAMED)
+    return rows.select("row", "id", "raw").mapInArrow(lean(sent if parts else named, __name__), _SENT if parts else _NAMED)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -570,11 +570,11 @@ def with_ranges(docs: DataFrame, key: str, text: str, block: int = BLOCK, hot: i
     for seed in range(SEEDS):
         # one exchange of phrases by part, which three steps read: none of them is so costly that its result is stored
         own = parsed(rows, seed, segment, n).groupBy("part")
-        asked = own.applyInArrow(lambda t: _asked(t, n, segment), _SQL)
-        found = asked.groupBy("bucket").applyInArrow(lambda t: _looked_up(t, hot), _SQL)
-        sent = own.cogroup(found.groupBy("part")).applyInArrow(lambda t, f: _fragments(t, f, n, segment) if t.num_rows else _ROW.empty_table(), _SQL)
-        least = sent.groupBy("bucket").applyInArrow(lambda t: _compared(t), _SQL)
-        answers = own.cogroup(least.groupBy("part")).applyInArrow(lambda t, g: _answered(t, g) if t.num_rows else _ANSWER.empty_table(), "name binary, runs array<int>, least array<bigint>")
+        asked = own.applyInArrow(lambda t: leanly(__name__, _asked, t, n, segment), _SQL)
+        found = asked.groupBy("bucket").applyInArrow(lambda t: leanly(__name__, _looked_up, t, hot), _SQL)
+        sent = own.cogroup(found.groupBy("part")).applyInArrow(lambda t, f: leanly(__name__, _fragments, t, f, n, segment) if t.num_rows else _ROW.empty_table(), _SQL)
+        least = sent.groupBy("bucket").applyInArrow(lambda t: leanly(__name__, _compared, t), _SQL)
+        answers = own.cogroup(least.groupBy("part")).applyInArrow(lambda t, g: leanly(__name__, _answered, t, g) if t.num_rows else _ANSWER.empty_table(), "name binary, runs array<int>, least array<bigint>")
         try:
             answers = stage(answers, "answers")
             break
@@ -645,4 +645,4 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", block
             columns = [pa.array(texts, b.column(at).type) if j == at else b.column(j) for j in range(len(own))]
             yield pa.RecordBatch.from_arrays(columns, own)
 
-    return leaving(marked.mapInArrow(run, renamed.schema).toDF(*docs.columns), *used)
+    return leaving(marked.mapInArrow(lean(run, __name__), renamed.schema).toDF(*docs.columns), *used)

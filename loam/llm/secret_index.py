@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loam.llm.common import bound_batches, map_rows
+from loam.llm.common import bound_batches, lean, map_rows
 
 
 @dataclass(frozen=True)
@@ -258,4 +258,4 @@ def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
             new = [t if not s else redacted_text(t, s) for t, s in zip(texts, scanner(rules).scan(texts))]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, __name__), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loam.llm.common import bound_batches, drop_left, drop_staged, leaving, map_rows, stage
+from loam.llm.common import bound_batches, drop_left, drop_staged, lean, leaving, map_rows, stage
 from loam.llm.components import component_labels
 
 WIDTH, SEED, BUDGET = 3, 42, 2
@@ -176,7 +176,7 @@ def links(nodes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> Dat
         if held:
             yield out()
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(lean(run, __name__), "u long, v long")
 
 
 def _labelled(nodes: DataFrame, budget: int, more: DataFrame | None = None) -> DataFrame:
@@ -311,7 +311,7 @@ def near_links(prints: DataFrame, likeness: float, group: int = GROUP) -> DataFr
         if held and (made := out()) is not None:
             yield made
 
-    return dealt.select("fp", "sketch", "band").mapInArrow(run, "u long, v long")
+    return dealt.select("fp", "sketch", "band").mapInArrow(lean(run, __name__), "u long, v long")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET, width: int = WIDTH, likeness: float | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from loam.llm.common import map_rows
+from loam.llm.common import kept, map_rows
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -206,13 +206,8 @@ class TextEncoder:
         return " ".join(self.tokens[i] for i in ids)
 
 
-_encoders: dict[str, TextEncoder] = {}
-
-
 def encoder(path: str) -> TextEncoder:
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    return kept(path, lambda: TextEncoder(path))
 
 
 def _mapped(docs: DataFrame, path: str, key: str, text: str, form, columns: str) -> DataFrame:

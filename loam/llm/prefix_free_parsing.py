@@ -42,7 +42,7 @@ WIDTH, GRAM = 50, 24
 #: Bytes of distinct phrases in a part; bytes that are parsed at once; mean bytes of a phrase; phrases of one anchor that go to one place.
 BLOCK, SEGMENT, PHRASE, HOT = 16 << 20, 1 << 19, 256, 1 << 15
 #: Parts of a bucket; bytes of fragments that are sorted together (a part more at most); bytes of phrases that a task knows, and that it sends at once.
-PARTS, AT_ONCE, KNOWN, SENT = 1024, 1 << 20, 24 << 20, 16 << 20
+PARTS, AT_ONCE, KNOWN, SENT = 1024, 1 << 18, 24 << 20, 16 << 20
 #: Seeds that are tried, should two phrases have one name.
 SEEDS = 8
 NO_ID = (1 << 63) - 1

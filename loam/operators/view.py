@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loam.operators.prefix import cuts_of, directions, part_of, parts_for
+from loam.operators.prefix import cuts_of, directions, part_of, parts_for, positions, running
 
 LOG_COLUMNS = ("user_key", "seq", "vtype", "val")
 MAX_SEQUENCE = 2**56 - 1
@@ -93,6 +93,22 @@ def seek(log: DataFrame, target=None, n: int = 1, as_of: int | None = None, lowe
     return visible(rows, as_of).orderBy(F.desc("user_key") if descending else F.asc("user_key")).limit(n)
 
 
+def seek_many(log: DataFrame, probes: DataFrame, n: int, as_of: int | None = None) -> DataFrame:
+    """probes (probe_id, target) -> probe_id, target, nth, user_key, seq, val: the first n live rows at or after each target.
+
+    Live keys and targets go into one order, in which running counts give each key its rank and each target the rank of
+    the key after it; ranks then meet in an equi-join. Linear in keys, probes and rows returned, and no part of it is one
+    task. Ids must be unique; a target past the last key, or null, has no rows.
+    """
+    asked = probes.where("target is not null").select(F.col("target").alias("user_key"), "probe_id", F.lit(0).alias("_kind"))
+    both = visible(log, as_of).withColumn("_kind", F.lit(1)).unionByName(asked, allowMissingColumns=True).withColumn("_tie", F.coalesce("probe_id", F.lit(0)))
+    placed = positions(both, [(c, True) for c in ("user_key", "_kind", "_tie")], "_at")
+    ranked = running(placed, "_at", "_kind", "_rank")
+    wanted = ranked.where("_kind = 0").select("probe_id", F.col("user_key").alias("target"), F.col("_rank").alias("_before"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("nth"))
+    rows = ranked.where("_kind = 1").select("_rank", "user_key", "seq", "val")
+    return wanted.withColumn("_rank", F.col("_before") + F.col("nth")).join(rows, "_rank").select("probe_id", "target", "nth", "user_key", "seq", "val")
+
+
 def page(log: DataFrame, after=None, n: int = 100, as_of: int | None = None, descending: bool = False) -> DataFrame:
     """The n live rows that follow a key: Next and Prev, many at once."""
     return seek(log, after, n, as_of, descending=descending, exclusive=after is not None)

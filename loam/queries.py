@@ -231,6 +231,14 @@ def level_overlap_violations(spark, d):
     return compaction.overlap_violations(files(spark, d))
 
 
+@query(f"WITH {_TREE}, D AS (SELECT level, number, smallest, CASE WHEN level = 1 AND number % 2 = 0 THEN smallest || 'x' WHEN level = 2 AND number % 2 = 1 THEN '{'9' * 16}' ELSE largest END AS largest FROM F) SELECT level, number, smallest, before FROM (SELECT *, lag(largest) OVER (PARTITION BY level ORDER BY smallest, number) AS before FROM D WHERE level >= 1) WHERE before >= smallest")
+def level_overlap_violations_damaged(spark, d):
+    """Every other file of level 2 reaches over its neighbours; files of level 1 only shrink, which is no violation."""
+    level, odd = F.col("level"), F.col("number") % 2 == 1
+    reach = F.when((level == 1) & ~odd, F.concat("smallest", F.lit("x"))).when((level == 2) & odd, "9" * 16).otherwise(F.col("largest"))
+    return compaction.overlap_violations(files(spark, d).withColumn("largest", reach))
+
+
 @query(f"WITH {_TREE} SELECT F.* FROM F, (SELECT min(smallest) AS lo, max(largest) AS hi FROM F WHERE level = 1) WHERE level = 2 AND smallest <= hi AND largest >= lo")
 def compaction_inputs_below(spark, d):
     return compaction.inputs_below(files(spark, d), 1)
@@ -352,6 +360,46 @@ def mixed_operations(spark, d):
     return _drawn(spark, d).select(F.col("event_id").alias("i"), F.when(workload.is_read(F.col("u"), 0.95), "read").otherwise("write").alias("op"), F.when(F.col("event_id") % 10 == 0, workload.missing_key(at)).otherwise(workload.key(at)).alias("key"))
 
 
+SEEK_ROWS = 10
+
+
+@query(f"WITH {_PROBES}, R AS (SELECT user_key, seq, val, row_number() OVER (ORDER BY user_key) AS r FROM {_newest()} WHERE vtype = 1), S AS (SELECT P.probe_id, P.user_key AS target, coalesce(R.r, 0) AS b FROM P ASOF LEFT JOIN R ON P.user_key > R.user_key) SELECT probe_id, target, r - b AS nth, user_key, seq, val FROM S JOIN R ON r BETWEEN b + 1 AND b + {SEEK_ROWS}")
+def seek_random(spark, d):
+    return view.seek_many(log(spark, d), probes(spark, d).select("probe_id", F.col("user_key").alias("target")), SEEK_ROWS)
+
+
+@query("SELECT o_orderkey AS probe_id, lpad(o_custkey::VARCHAR, 16, '0') || '.' AS user_key, 'NotPresent' AS state FROM orders")
+def read_missing(spark, d):
+    asked = _table(spark, d, "orders").select(F.col("o_orderkey").alias("probe_id"), workload.missing_key(F.col("o_custkey")).alias("user_key"), F.lit(None).cast("long").alias("as_of"))
+    return view.multi_get(log(spark, d), asked).select("probe_id", "user_key", "state")
+
+
+def _mixed_sql(share: float) -> str:
+    ops = f"O AS (SELECT event_id AS i, {_U} < {share} AS reads, lpad(((event_id * 2654435761) % top)::VARCHAR, 16, '0') AS user_key FROM events, C), M AS (SELECT max(seq) AS m FROM L)"
+    every = "W AS (SELECT * FROM L UNION ALL SELECT user_key, m + i + 1, 1, i % 1000 FROM O, M WHERE NOT reads), A AS (SELECT i, user_key, m + i AS a FROM O, M WHERE reads)"
+    return f"WITH {_LOG}, {ops}, {every} SELECT i, A.user_key, CASE WHEN vtype IS NULL THEN 'NotPresent' WHEN vtype = 0 THEN 'Deleted' ELSE 'Found' END AS state, CASE WHEN vtype = 1 THEN seq END AS seq, CASE WHEN vtype = 1 THEN val END AS val FROM A ASOF LEFT JOIN W ON A.user_key = W.user_key AND a >= seq"
+
+
+def _mixed(spark, d, share):
+    """Reads and writes in one order against the loaded log: a read sees the writes before it."""
+    last, top = _table(spark, d, "events").agg(F.max("event_id") + 1, F.max("user_id") + 1).first()
+    loaded, i = log(spark, d), F.col("event_id")
+    ops = _drawn(spark, d).select("event_id", workload.is_read(F.col("u"), share).alias("reads"), workload.key(F.pmod(i * 2654435761, F.lit(top))).alias("user_key"))
+    written = ops.where("not reads").select("user_key", (i + last + 1).alias("seq"), F.lit(1).alias("vtype"), (i % 1000).cast(loaded.schema["val"].dataType).alias("val"))
+    asked = ops.where("reads").select(i.alias("probe_id"), "user_key", (i + last).alias("as_of"))
+    return view.multi_get(loaded.unionByName(written), asked).select(F.col("probe_id").alias("i"), "user_key", "state", "seq", "val")
+
+
+@query(_mixed_sql(0.5))
+def ycsb_a(spark, d):
+    return _mixed(spark, d, 0.5)
+
+
+@query(_mixed_sql(0.95))
+def ycsb_b(spark, d):
+    return _mixed(spark, d, 0.95)
+
+
 @query(f"WITH {_LOG} SELECT user_key, seq, '''' || user_key || ''' @ ' || seq || CASE WHEN vtype = 0 THEN ' DEL' ELSE ' PUT => ''' || (val * 100)::BIGINT || '''' END AS line FROM L")
 def sst_dump(spark, d):
     return view.dump(log(spark, d).withColumn("val", F.expr("cast(round(val * 100) as bigint)")))

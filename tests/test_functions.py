@@ -111,3 +111,16 @@ def test_codec_columns_go_both_ways(spark):
     assert [r.b for r in bad] == [None] * 3
     cells = [b"", b"123456789", bytes(32), b"\xff" * 32, b"a" * 1000]
     assert codecs.crc32c_batch(cells).tolist() == [codecs.crc32c(x) for x in cells] and not len(codecs.crc32c_batch([]))
+
+
+def test_many_seeks_equal_single_ones(spark):
+    """Ties, a target that is a key, one past the end, null and a table without live keys."""
+    from loam.operators import view
+
+    log = spark.createDataFrame([(f"k{i % 40:02d}", i + 1, int(i % 7 > 0), i) for i in range(200)], "user_key string, seq long, vtype int, val long")
+    targets = [(1, "k00"), (2, "k07"), (3, "k07"), (4, "k075"), (5, "z"), (6, None), (7, ""), (8, "k39")]
+    probes = spark.createDataFrame(targets, "probe_id long, target string")
+    got = sorted(tuple(r) for r in view.seek_many(log, probes, 3).collect())
+    want = [(p, t, k, *r) for p, t in targets if t is not None for k, r in enumerate(map(tuple, view.seek(log, t, 3).collect()), 1)]
+    assert got == sorted(want) and len(got) > 12
+    assert not view.seek_many(log.where("vtype = 0"), probes, 3).collect() and not view.seek_many(log, probes.limit(0), 3).collect()

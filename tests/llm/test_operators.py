@@ -139,6 +139,42 @@ def test_preference_ranking(spark, docs, none):
     assert len({r.score for r in preference_ranking.scored(reference, labels).collect()}) == 1
 
 
+def test_preferences_come_from_all_rows_and_pairs(spark):
+    n = 33_000  # some 22,000 of them to learn from, 100 million pairs
+    of = lambda i: i * 7919 % len(BASE)
+    good = lambda i: int(i * 104729 % 97 < 20 + 60 * (len(BASE[of(i)]) % 2))
+    rows = [(i, BASE[of(i)], good(i)) for i in range(n)]
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    x = np.array([preference_ranking.statistics(t) for t in BASE])
+    count = np.zeros((2, len(BASE)))
+    for i, _, y in known:
+        count[y, of(i)] += 1
+    assert len(known) > 20_000 and count.min() > 0
+    # brute force over pairs of distinct texts, weighted by how often they occur
+    diff = (x[:, None] - x[None]).reshape(-1, x.shape[1])
+    weight = np.outer(count[1], count[0]).ravel() / np.outer(count[1], count[0]).sum()
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(diff @ w))
+        curve = (diff * (weight * p * (1 - p))[:, None]).T @ diff + 0.01 * np.eye(len(w))
+        w = w + np.linalg.solve(curve, diff.T @ (weight * p) - 0.01 * w)
+    scores = np.repeat(x @ w, count.sum(0).astype(int))
+    want = 1 / (1 + np.exp(-4 * (x @ w - np.quantile(scores, count[0].sum() / len(known))) / scores.std()))
+
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(5)
+    got = preference_ranking.scored(table, table.select("doc_id", "quality")).collect()
+    assert len(got) == n and max(abs(r.score - want[of(r.doc_id)]) for r in got) < 1e-7
+
+
+def test_quantiles_of_scores_are_exact(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25), 1e-12 * rng.normal(size=3000), [-1e6, 1e6]])
+    table = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3).cache()
+    for share in (0, 0.3, 0.5, 0.7003, 1, 17 / (len(values) - 1)):
+        got = preference_ranking.quantile(table, "v", share, len(values), float(values.min()), float(values.max()))
+        assert got == pytest.approx(np.quantile(values, share), rel=1e-12, abs=1e-24)
+
+
 def test_order_minhash(docs, none):
     got = order_minhash.compared_with_next(docs).collect()
     assert len(got) == len(ROWS)

@@ -7,9 +7,11 @@ asked for; the newest visible one decides, and only then a tombstone hides its k
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loam.operators.prefix import cuts_of, directions, part_of, parts_for, positions, running
+from loam.operators.prefix import cuts_of, directions, part_of, parts_for
 
 LOG_COLUMNS = ("user_key", "seq", "vtype", "val")
 MAX_SEQUENCE = 2**56 - 1
@@ -96,17 +98,31 @@ def seek(log: DataFrame, target=None, n: int = 1, as_of: int | None = None, lowe
 def seek_many(log: DataFrame, probes: DataFrame, n: int, as_of: int | None = None) -> DataFrame:
     """probes (probe_id, target) -> probe_id, target, nth, user_key, seq, val: the first n live rows at or after each target.
 
-    Live keys and targets go into one order, in which running counts give each key its rank and each target the rank of
-    the key after it; ranks then meet in an equi-join. Linear in keys, probes and rows returned, and no part of it is one
-    task. Ids must be unique; a target past the last key, or null, has no rows.
+    Live keys and targets go into one order, cut into parts of about equal size. With the counts of live keys in the parts
+    before, a running count gives each key its rank and each target the number of live keys before it. Ranks are dealt to
+    blocks of 2n, each half of which is in two blocks, so that one block has all n rows of a target: a target meets one row,
+    and only then becomes n. Linear in keys, probes and rows returned, and no part of it is one task. A target past the
+    last key, or null, has no rows.
     """
-    asked = probes.where("target is not null").select(F.col("target").alias("user_key"), "probe_id", F.lit(0).alias("_kind"))
-    both = visible(log, as_of).withColumn("_kind", F.lit(1)).unionByName(asked, allowMissingColumns=True).withColumn("_tie", F.coalesce("probe_id", F.lit(0)))
-    placed = positions(both, [(c, True) for c in ("user_key", "_kind", "_tie")], "_at")
-    ranked = running(placed, "_at", "_kind", "_rank")
-    wanted = ranked.where("_kind = 0").select("probe_id", F.col("user_key").alias("target"), F.col("_rank").alias("_before"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("nth"))
-    rows = ranked.where("_kind = 1").select("_rank", "user_key", "seq", "val")
-    return wanted.withColumn("_rank", F.col("_before") + F.col("nth")).join(rows, "_rank").select("probe_id", "target", "nth", "user_key", "seq", "val")
+    live = visible(log, as_of).withColumns({"_kind": F.lit(1), "_tie": F.lit(0)})
+    asked = probes.where("target is not null").select(F.col("target").alias("user_key"), "probe_id", F.lit(0).alias("_kind"), F.coalesce("probe_id", F.lit(0)).alias("_tie"))
+    both = live.drop("seq", "val").unionByName(asked, allowMissingColumns=True)
+    order = [(c, True) for c in ("user_key", "_kind", "_tie")]
+    cuts = cuts_of(both, order, parts_for(both, None))
+    part = part_of(order, cuts)
+    sizes = dict(live.groupBy(part.alias("_part")).count().collect())
+    earlier = accumulate((sizes.get(k, 0) for k in range(len(cuts))), initial=0)
+    base = F.get(F.array(*(F.lit(x).cast("long") for x in earlier)), F.col("_part"))
+    near = Window.partitionBy("_part").orderBy(*directions(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = lambda df: df.withColumn("_part", part).withColumn("_rank", base + F.sum("_kind").over(near))
+    block = F.expr(f"(_rank - 1) div {n}")
+    rows = ranked(live).select("_rank", F.explode(F.array(block - 1, block)).alias("_block"), "user_key", "seq", "val").where("_block >= 0")
+    by_rank = lambda a, b: (a["_rank"] - b["_rank"]).cast("int")
+    blocks = rows.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("_rank", "user_key", "seq", "val")), by_rank).alias("_rows"))
+    wanted = ranked(both).where((F.col("_kind") == 0) & (F.col("_rank") < sum(sizes.values()))).select("probe_id", F.col("user_key").alias("target"), F.expr(f"_rank div {n}").alias("_block"), (F.col("_rank") % n).cast("int").alias("_at"))
+    # merged whatever Spark takes their sizes for: it would broadcast the targets where it takes them for few
+    found = wanted.join(blocks.hint("merge"), "_block").select("probe_id", "target", F.posexplode(F.slice("_rows", F.col("_at") + 1, n)).alias("_nth", "_row"))
+    return found.select("probe_id", "target", (F.col("_nth") + 1).alias("nth"), "_row.user_key", "_row.seq", "_row.val")
 
 
 def page(log: DataFrame, after=None, n: int = 100, as_of: int | None = None, descending: bool = False) -> DataFrame:

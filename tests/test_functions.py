@@ -124,3 +124,23 @@ def test_many_seeks_equal_single_ones(spark):
     want = [(p, t, k, *r) for p, t in targets if t is not None for k, r in enumerate(map(tuple, view.seek(log, t, 3).collect()), 1)]
     assert got == sorted(want) and len(got) > 12
     assert not view.seek_many(log.where("vtype = 0"), probes, 3).collect() and not view.seek_many(log, probes.limit(0), 3).collect()
+
+
+@pytest.mark.parametrize("live, n", [(11, 10), (2000, 1), (2000, 7)])
+def test_many_seeks_gather_nothing_on_the_driver(spark, live, n):
+    """Every row against brute force, most targets one key; neither targets nor keys are broadcast, under the default limit for it."""
+    from bisect import bisect_left
+
+    from loam.operators import view
+
+    names = [f"k{i * 3:06d}" for i in range(live)]
+    log = spark.createDataFrame([(k, i + 1, int(i % 5 != 3), i) for i, k in enumerate(names)], "user_key string, seq long, vtype int, val long")
+    targets = [(i, "k000009" if i % 4 else f"k{i * 7919 % (live * 4):06d}") for i in range(6000)]
+    got = view.seek_many(log, spark.createDataFrame(targets, "probe_id long, target string"), n)
+    rows = sorted(tuple(r) for r in got.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "NestedLoop" not in plan
+    there = [(k, i + 1, i) for i, k in enumerate(names) if i % 5 != 3]
+    keys = [k for k, *_ in there]
+    assert rows == sorted((p, t, j, *r) for p, t in targets for j, r in enumerate(there[bisect_left(keys, t):][:n], 1))
+    assert len(rows) <= 6000 * n and len({r[0] for r in rows}) > 1000
